@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, decontam, kit, media, suffix_dedup, warc
+from lexframe.llm import bpe, decontam, kit, licenses, media, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,12 @@ case when n >= 100 and page_id <> first then first end as refers_to from f
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "columns", "rows")
 
@@ -74,5 +84,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
