@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, decontam, kit, licenses, media, suffix_dedup, toxicity, warc
+from lexframe.llm import bpe, decontam, kit, licenses, line_dedup, media, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer("byte_bpe_50k.tiktoken")
     rows = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
@@ -84,5 +89,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
