@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, decontam, kit, licenses, line_dedup, media, pii, suffix_dedup, toxicity, warc
+from lexframe.llm import bpe, decontam, kit, licenses, line_dedup, media, ngram_join, pii, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -95,5 +99,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_ngram_join": op3_ngram_join, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
