@@ -1,8 +1,8 @@
 """Media columns over content-addressed payloads in tar shards.
 
 A payload is stored as an 8-bit grey PNG image of 64 columns, one sample a byte, under the SHA-256 of the image. Images
-are dealt by digest, so that each is stored once, and appended to plain tar shards in the shared folder; rows carry
-digest, shard, offset and length. `image_sizes` fills metadata columns from ranged reads of the 33 header bytes alone;
+are appended once a task to plain tar shards in the shared folder, and each has one address; rows carry digest, shard,
+offset and length. `image_sizes` fills metadata columns from ranged reads of the 33 header bytes alone;
 `read_media` reads whole images back.
 
 Defined cases: a null text is an empty payload of 64 zero bytes; equal texts share one image; an empty table has no
@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import keep, raw_texts, scratch, slices, texts, width
+from lexframe.llm.kit import keep, raw_texts, scratch, texts, width
 
 COLUMNS, HEADER = 64, 33
 #: A shard is closed when it has this many bytes.
@@ -79,22 +79,16 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores the images of all texts below `folder`; (doc_id, n_bytes, digest, shard, offset, length) of each row.
 
-    Copies within a slice are dropped before images are dealt by digest, so a group of copies sends at most one image
-    from each slice. A shard appears under its final name only when complete, and the index of shards is written as a
-    table: a task that runs again leaves an unreferenced shard, never a wrong one.
+    A task appends each distinct image it meets to its own shards, so no image is shuffled, and a group of copies is
+    stored at most once a task; the index then gives each digest one address. A shard appears under its final name only
+    when complete, and the index of shards is written as a table: a task that runs again leaves an unreferenced shard,
+    never a wrong one.
     """
-    spark, rows = docs.sparkSession, texts(docs, id_col, text_col)
-
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                distinct = dict.fromkeys(raw_texts(part.column("text")))
-                data = [to_png(payload(x)) for x in distinct]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in distinct]), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array(data, pa.binary())], ["source", "digest", "image"])
+    rows = texts(docs, id_col, text_col)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _store(folder)
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         found: list[tuple] = []
         out = None
 
@@ -102,24 +96,27 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             out.write(bytes(1024))
             out.close()
             fs.move(f"{path}/{name}.part", f"{path}/{name}")
-            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["source", "digest", "shard", "offset", "length"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["source", "digest", "shard", "offset", "length"])
             found.clear()
             return batch
 
         for batch in batches:
-            for source, digest, image in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if digest in seen:
+            for raw in raw_texts(batch.column("text")):
+                source = hashlib.sha256(raw).digest()
+                if source in seen:
                     continue
-                seen.add(digest)
+                seen.add(source)
                 if out is None:
-                    name, at = f"shard-{uuid.uuid4().hex}.tar", 0
+                    name, at = f"{uuid.uuid4().hex}.tar", 0
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{name}.part")
-                entry = tarfile.TarInfo(f"{digest}.png")
+                image = to_png(payload(raw))
+                digest = hashlib.sha256(image).digest()
+                entry = tarfile.TarInfo(f"{digest.hex()}.png")
                 entry.size = len(image)
                 head = entry.tobuf(tarfile.USTAR_FORMAT)
                 out.write(head + image + bytes(-len(image) % 512))
-                found.append((source, digest, f"{folder}/{name}", at + len(head), len(image)))
+                found.append((source, digest, name, at + len(head), len(image)))
                 at += len(head) + len(image) + -len(image) % 512
                 if at >= SHARD_BYTES:
                     yield close()
@@ -127,10 +124,10 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if out is not None:
             yield close()
 
-    dealt = rows.mapInArrow(images, "source string, digest string, image binary").repartition(width(spark, rows), "digest")
-    index = keep(dealt.mapInArrow(shards, "source string, digest string, shard string, offset long, length long"), "media-index")
-    named = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("source"))
-    return named.join(index, "source").select("doc_id", "n_bytes", "digest", "shard", "offset", "length")
+    index = keep(rows.mapInArrow(shards, "source binary, digest binary, shard string, offset long, length long"), "media-index")
+    address = index.groupBy("source").agg(F.min(F.struct("shard", "offset", "length", "digest")).alias("at")).select("source", "at.*")
+    named = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("source"))
+    return named.join(address, "source").select("doc_id", "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.concat(F.lit(f"{folder}/"), "shard").alias("shard"), "offset", "length")
 
 
 def _ranges(part: pa.RecordBatch, most: int | None = None) -> Iterator[bytes]:
@@ -174,7 +171,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-COLUMNS:]), len(image), digest, feature))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    once = media.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    once = media.select("digest", "shard", "offset", "length").distinct()
     once = once.repartitionByRange(width(media.sparkSession, media), "shard", "offset").sortWithinPartitions("shard", "offset")
     return once.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
