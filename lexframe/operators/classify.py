@@ -67,14 +67,15 @@ def priors(labels: DataFrame) -> DataFrame:
 
 
 def likelihood(vecs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """(fold, label, term, log_prob) over every class and every term of the training vectors of its fold."""
-    sums = vecs.join(labels, ["fold", "doc_id"]).groupBy("fold", "label", "term").agg(F.sum("weight").alias("w"))
-    terms = sums.select("fold", "term").distinct()
-    total = sums.groupBy("fold", "label").agg(F.sum("w").alias("total"))
-    size = terms.groupBy("fold").agg(F.count("*").alias("v"))
-    grid = labels.select("fold", "label").distinct().join(F.broadcast(size), "fold", "left").join(F.broadcast(total), ["fold", "label"], "left").join(terms, "fold")  # classes times vocabulary
-    rows = grid.join(sums, ["fold", "label", "term"], "left")
-    return rows.select("fold", "label", "term", F.log((F.coalesce("w", F.lit(0.0)) + params.alpha) / (F.coalesce("total", F.lit(0.0)) + params.alpha * F.col("v"))).alias("log_prob"))
+    """(fold, label, term, log_prob) over every class and every term of the training vectors of its fold. The sums are
+    computed once; the windows hold at most max_features rows."""
+    sums = vecs.join(labels, ["fold", "doc_id"]).groupBy("fold", "term", "label").agg(F.sum("weight").alias("w"))
+    by_term = sums.groupBy("fold", "term").agg(F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("m"))  # one entry a class
+    names = labels.groupBy("fold").agg(F.collect_set("label").alias("names"))
+    grid = by_term.join(F.broadcast(names), "fold").select("fold", "term", "m", F.explode("names").alias("label"))
+    rows = grid.select("fold", "label", "term", F.coalesce(F.col("m")[F.col("label")], F.lit(0.0)).alias("w"))
+    of_class = Window.partitionBy("fold", "label")
+    return rows.select("fold", "label", "term", F.log((F.col("w") + params.alpha) / (F.sum("w").over(of_class) + params.alpha * F.count("*").over(of_class))).alias("log_prob"))
 
 
 def log_scores(vecs: DataFrame, prior: DataFrame, like: DataFrame, members: DataFrame) -> DataFrame:
@@ -109,19 +110,22 @@ def informative(like: DataFrame, k: int = 20) -> DataFrame:
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
-    """(fold, label, predicted, n) of every pair of classes, zeros included. Pairs: (fold, label, predicted)."""
-    both = pairs.select("fold", "label").unionByName(pairs.select("fold", F.col("predicted").alias("label"))).distinct()
-    grid = both.join(both.withColumnRenamed("label", "predicted"), "fold")  # classes times classes
+    """(fold, label, predicted, n) of every pair of classes, zeros included. Pairs: (fold, label, predicted); they are
+    counted once, and the table of a fold is built from the counts."""
     n = pairs.groupBy("fold", "label", "predicted").agg(F.count("*").alias("n"))
-    return grid.join(n, ["fold", "label", "predicted"], "left").select("fold", "label", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    whole = n.groupBy("fold").agg(F.collect_list(F.struct("label", "predicted", "n")).alias("t"))  # classes times classes
+    names = F.array_sort(F.array_distinct(F.concat(F.transform("t", lambda x: x["label"]), F.transform("t", lambda x: x["predicted"]))))
+    grid = whole.select("fold", "t", names.alias("names")).select("fold", "t", "names", F.explode("names").alias("label")).select("fold", "t", "label", F.explode("names").alias("predicted"))
+    found = F.filter("t", lambda x: (x["label"] == F.col("label")) & (x["predicted"] == F.col("predicted")))
+    return grid.select("fold", "label", "predicted", F.coalesce(F.get(found, F.lit(0))["n"], F.lit(0)).cast("long").alias("n"))
 
 
 def class_metrics(table: DataFrame) -> DataFrame:
-    """(fold, label, precision, recall, f1, support) from a confusion table; 0 where a denominator is."""
+    """(fold, label, precision, recall, f1, support, tp) from a confusion table; 0 where a denominator is."""
     hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
-    by_true = table.groupBy("fold", "label").agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
-    by_pred = table.groupBy("fold", F.col("predicted").alias("label")).agg(F.sum("n").alias("named"))
-    rows = by_true.join(by_pred, ["fold", "label"])
+    zero = F.lit(0).cast("long")
+    both = F.explode(F.array(F.struct(F.col("label").alias("c"), F.col("n").alias("s"), hit.cast("long").alias("h"), zero.alias("p")), F.struct(F.col("predicted").alias("c"), zero.alias("s"), zero.alias("h"), F.col("n").alias("p"))))
+    rows = table.select("fold", both.alias("x")).groupBy("fold", F.col("x.c").alias("label")).agg(F.sum("x.s").alias("support"), F.sum("x.h").alias("tp"), F.sum("x.p").alias("named"))
     p = F.when(F.col("named") > 0, F.col("tp") / F.col("named")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     rows = rows.select("fold", "label", p.alias("precision"), r.alias("recall"), "support", "tp")

@@ -53,11 +53,12 @@ def L(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    """Six decimals; the addend keeps exact halves from falling on either side in two engines."""
+    return [F.round(F.col(n) + 1e-9, 6).alias(n) for n in names]
 
 
 def sr6(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) as {n}" for n in names)
+    return ", ".join(f"round({n} + 1e-9, 6) as {n}" for n in names)
 
 
 # Sources ---------------------------------------------------------------------------------------------------------------
@@ -140,7 +141,7 @@ def paragraph_sections(spark, sf_dir):
     return cl.split_sections(docs)
 
 
-_SCORES = ", ".join(f"round(score_{p.name}, 6) as score_{p.name}" for p in lx.CLAUSES)
+_SCORES = ", ".join(f"round(score_{p.name} + 1e-9, 6) as score_{p.name}" for p in lx.CLAUSES)
 
 
 @add("clause_scores", s.with_(f"select doc_id, section::int as section, {_SCORES} from scored", **s.CONTRACTS, **s.sections(), **s.scores()))
@@ -149,11 +150,11 @@ def clause_scores(spark, sf_dir):
 
 
 _CL = s.CONTRACTS | s.clauses()
-_CL_COLS = "doc_id, seq::int as seq, clause_type, text, round(confidence, 6) as confidence, start_char, end_char"
+_CL_COLS = "doc_id, seq::int as seq, clause_type, text, round(confidence + 1e-9, 6) as confidence, start_char, end_char"
 
 
 def _clauses(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "seq", "clause_type", "text", F.round("confidence", 6).alias("confidence"), "start_char", "end_char")
+    return rows.select("doc_id", "seq", "clause_type", "text", *r6("confidence"), "start_char", "end_char")
 
 
 @add("clauses", s.with_(f"select {_CL_COLS} from cl", **_CL))
@@ -179,10 +180,10 @@ _PGCL["one"] = "select w.doc_id, 1 as page, clause_type, text, confidence, start
 _PGCL["rest"] = "select w.doc_id, (select coalesce(min(case when a <= w.start_char and w.start_char < b then page_number end), max(page_number)) from rg where rg.doc_id = w.doc_id) as page, clause_type, text, confidence, start_char, end_char from w_cl w where w.doc_id in (select doc_id from rg where pages > 1) and not exists (select 1 from bp where bp.doc_id = w.doc_id and bp.clause_type = w.clause_type and bp.start_char = w.start_char)"
 
 
-@add("clauses_paged", s.with_("select doc_id, page, clause_type, text, round(confidence, 6) as confidence, start_char, end_char from (select * from one union all select * from bp union all select * from rest)", **_PGCL))
+@add("clauses_paged", s.with_("select doc_id, page, clause_type, text, round(confidence + 1e-9, 6) as confidence, start_char, end_char from (select * from one union all select * from bp union all select * from rest)", **_PGCL))
 def clauses_paged(spark, sf_dir):
     rows = cl.clauses_of_pages(files.text_pages(C(spark, sf_dir, paged=True)))
-    return rows.select("doc_id", "page", "clause_type", "text", F.round("confidence", 6).alias("confidence"), "start_char", "end_char")
+    return rows.select("doc_id", "page", "clause_type", "text", *r6("confidence"), "start_char", "end_char")
 
 
 @add("clause_type_counts", s.with_("select clause_type, count(*) as n from cl group by clause_type", **_CL))
@@ -195,9 +196,9 @@ def clause_excerpt(spark, sf_dir):
     return cl.clauses(C(spark, sf_dir)).select("doc_id", "seq", report.excerpt(F.col("text")).alias("excerpt"))
 
 
-@add("best_clause", s.with_("select doc_id, clause_type, seq::int as seq, round(confidence, 6) as confidence from (select *, row_number() over (partition by doc_id, clause_type order by confidence desc, start_char, seq) as rn from cl) where rn = 1", **_CL))
+@add("best_clause", s.with_("select doc_id, clause_type, seq::int as seq, round(confidence + 1e-9, 6) as confidence from (select *, row_number() over (partition by doc_id, clause_type order by confidence desc, start_char, seq) as rn from cl) where rn = 1", **_CL))
 def best_clause(spark, sf_dir):
-    return cl.best_per_type(cl.clauses(C(spark, sf_dir))).select("doc_id", "clause_type", "seq", F.round("confidence", 6).alias("confidence"))
+    return cl.best_per_type(cl.clauses(C(spark, sf_dir))).select("doc_id", "clause_type", "seq", *r6("confidence"))
 
 
 # Entities --------------------------------------------------------------------------------------------------------------
@@ -287,7 +288,7 @@ _WEIGHT = "case level " + " ".join(f"when {s.q(k)} then {v}::double" for k, v in
 _SCORE = _RK | {"rs": f"select c.doc_id, count(rk.doc_id) as n_risks, coalesce(avg({_WEIGHT}), 0) as risk_score from c left join rk on c.doc_id = rk.doc_id group by c.doc_id"}
 
 
-@add("risk_score", s.with_("select doc_id, n_risks, round(risk_score, 6) as risk_score from rs", **_SCORE))
+@add("risk_score", s.with_("select doc_id, n_risks, round(risk_score + 1e-9, 6) as risk_score from rs", **_SCORE))
 def risk_score(spark, sf_dir):
     docs = C(spark, sf_dir)
     return risks.scores(docs, risks.risks(docs)).select("doc_id", "n_risks", *r6("risk_score"))
@@ -302,7 +303,7 @@ def risk_band(spark, sf_dir):
     return risks.scores(docs, risks.risks(docs)).select("doc_id", risks.band(F.col("risk_score")).alias("band"))
 
 
-@add("risk_bands", s.with_(f"select {_BAND} as band, n_types, count(*) as contracts, round(avg(risk_score), 6) as mean_score from rs join (select c.doc_id, count(distinct clause_type) as n_types from c left join cl on c.doc_id = cl.doc_id group by c.doc_id) using (doc_id) group by all", **_SCORE))
+@add("risk_bands", s.with_(f"select {_BAND} as band, n_types, count(*) as contracts, round(avg(risk_score) + 1e-9, 6) as mean_score from rs join (select c.doc_id, count(distinct clause_type) as n_types from c left join cl on c.doc_id = cl.doc_id group by c.doc_id) using (doc_id) group by all", **_SCORE))
 def risk_bands(spark, sf_dir):
     """The flagship: contracts by risk band and number of clause types."""
     docs = C(spark, sf_dir)
@@ -310,7 +311,7 @@ def risk_bands(spark, sf_dir):
     scored = risks.scores(docs, risks.risks_from(found, docs))
     types = found.groupBy("doc_id").agg(F.count_distinct("clause_type").alias("n_types"))
     rows = scored.join(types, "doc_id", "left").select(risks.band(F.col("risk_score")).alias("band"), F.coalesce("n_types", F.lit(0)).cast("long").alias("n_types"), "risk_score")
-    return rows.groupBy("band", "n_types").agg(F.count("*").alias("contracts"), F.round(F.avg("risk_score"), 6).alias("mean_score"))
+    return rows.groupBy("band", "n_types").agg(F.count("*").alias("contracts"), F.round(F.avg("risk_score") + 1e-9, 6).alias("mean_score"))
 
 
 # Reports ---------------------------------------------------------------------------------------------------------------
@@ -485,12 +486,12 @@ _BAGS = {
 }
 
 
-@add("doc_jaccard", s.with_("select pair_id, round(jaccard_similarity, 6) as jaccard_similarity from cmp", **_BAGS))
+@add("doc_jaccard", s.with_("select pair_id, round(jaccard_similarity + 1e-9, 6) as jaccard_similarity from cmp", **_BAGS))
 def doc_jaccard(spark, sf_dir):
     return text.compare_bags(_pairs(spark, sf_dir)).select("pair_id", *r6("jaccard_similarity"))
 
 
-@add("doc_cosine", s.with_("select pair_id, round(cosine_similarity, 6) as cosine_similarity, round(length_ratio, 6) as length_ratio from cmp", **_BAGS))
+@add("doc_cosine", s.with_("select pair_id, round(cosine_similarity + 1e-9, 6) as cosine_similarity, round(length_ratio + 1e-9, 6) as length_ratio from cmp", **_BAGS))
 def doc_cosine(spark, sf_dir):
     return text.compare_bags(_pairs(spark, sf_dir)).select("pair_id", *r6("cosine_similarity", "length_ratio"))
 
@@ -500,7 +501,7 @@ def shared_terms(spark, sf_dir):
     return text.compare_bags(_pairs(spark, sf_dir)).select("pair_id", *[F.array_join(c, ",").alias(c) for c in ("shared", "only_a", "only_b")])
 
 
-@add("doc_compare", s.with_("select pair_id, round(cosine_similarity, 6) as cosine_similarity, round(jaccard_similarity, 6) as jaccard_similarity, round(length_ratio, 6) as length_ratio, n_shared, n_only_a, n_only_b from cmp", **_BAGS))
+@add("doc_compare", s.with_("select pair_id, round(cosine_similarity + 1e-9, 6) as cosine_similarity, round(jaccard_similarity + 1e-9, 6) as jaccard_similarity, round(length_ratio + 1e-9, 6) as length_ratio, n_shared, n_only_a, n_only_b from cmp", **_BAGS))
 def doc_compare(spark, sf_dir):
     return text.compare_bags(_pairs(spark, sf_dir)).select("pair_id", *r6("cosine_similarity", "jaccard_similarity", "length_ratio"), "n_shared", "n_only_a", "n_only_b")
 
@@ -531,7 +532,7 @@ def _diff_tables(threshold: float) -> dict[str, str]:
     }
 
 
-@add("clause_diff", s.with_("select doc_id, clause_type, status, round(similarity, 6) as similarity from df", **_diff_tables(0.85)))
+@add("clause_diff", s.with_("select doc_id, clause_type, status, round(similarity + 1e-9, 6) as similarity from df", **_diff_tables(0.85)))
 def clause_diff(spark, sf_dir):
     return compare.clause_diffs(C(spark, sf_dir), C(spark, sf_dir, 1)).select("doc_id", "clause_type", "status", *r6("similarity"))
 
@@ -554,7 +555,7 @@ def entity_delta(spark, sf_dir):
     return rows.select("doc_id", "entity_type", *[F.array_join(c, "|").alias(c) for c in ("only_in_a", "only_in_b", "shared")])
 
 
-@add("overall_similarity", s.with_("select doc_id, round(overall_similarity, 6) as overall_similarity from ov", **_diff_tables(0.85)))
+@add("overall_similarity", s.with_("select doc_id, round(overall_similarity + 1e-9, 6) as overall_similarity from ov", **_diff_tables(0.85)))
 def overall_similarity(spark, sf_dir):
     a = C(spark, sf_dir)
     return compare.overall(a, compare.clause_diffs(a, C(spark, sf_dir, 1))).select("doc_id", *r6("overall_similarity"))
@@ -584,12 +585,12 @@ def diff_summary(spark, sf_dir):
 _SM = s.summary_tables("documents")
 
 
-@add("sent_idf", s.with_("select doc_id, term, round(idf, 6) as idf from idf", **_SM))
+@add("sent_idf", s.with_("select doc_id, term, round(idf + 1e-9, 6) as idf from idf", **_SM))
 def sent_idf(spark, sf_dir):
     return summaries.sentence_idf(D(spark, sf_dir)).select("doc_id", "term", *r6("idf"))
 
 
-@add("sentence_scores", s.with_("select doc_id, position, text, round(score, 6) as score from sc", **_SM))
+@add("sentence_scores", s.with_("select doc_id, position, text, round(score + 1e-9, 6) as score from sc", **_SM))
 def sentence_scores(spark, sf_dir):
     return summaries.sentence_scores(D(spark, sf_dir)).select("doc_id", "position", "text", *r6("score"))
 
@@ -597,7 +598,7 @@ def sentence_scores(spark, sf_dir):
 def _summary_sql(source: str, first: dict[str, str]) -> str:
     tables = first | s.summary_tables(source) | {"bs": "select doc_id, string_agg(text, ' ' order by position) as best, count(*) as n_key from (select *, row_number() over (partition by doc_id order by round(score, 9) desc, position) as rn from sc) where rn <= 5 group by doc_id"}
     words = lambda c: rf"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''))"
-    return s.with_(f"select d.doc_id, coalesce(best, {s.strip('d.text')}) as summary, coalesce(n_key, 0)::bigint as n_key, (case when best is null then {words('d.text')} else {words('best')} end)::bigint as word_count, {words('d.text')}::bigint as original_word_count, round(case when best is null then 1 else {words('best')} / greatest({words('d.text')}, 1) end, 6) as compression_ratio from {source} d left join bs using (doc_id)", **tables)
+    return s.with_(f"select d.doc_id, coalesce(best, {s.strip('d.text')}) as summary, coalesce(n_key, 0)::bigint as n_key, (case when best is null then {words('d.text')} else {words('best')} end)::bigint as word_count, {words('d.text')}::bigint as original_word_count, round(case when best is null then 1 else {words('best')} / greatest({words('d.text')}, 1) end + 1e-9, 6) as compression_ratio from {source} d left join bs using (doc_id)", **tables)
 
 
 @add("summary", _summary_sql("documents", {}))
@@ -605,7 +606,7 @@ def summary(spark, sf_dir):
     return summaries.summaries(D(spark, sf_dir)).select("doc_id", "summary", "n_key", "word_count", "original_word_count", *r6("compression_ratio"))
 
 
-@add("summary_terms", s.with_("select doc_id, rank::int as rank, term, round(weight, 6) as weight from (select *, row_number() over (partition by doc_id order by round(weight, 9) desc, first) as rank from doc) where rank <= 10", **_SM))
+@add("summary_terms", s.with_("select doc_id, rank::int as rank, term, round(weight + 1e-9, 6) as weight from (select *, row_number() over (partition by doc_id order by round(weight, 9) desc, first) as rank from doc) where rank <= 10", **_SM))
 def summary_terms(spark, sf_dir):
     return summaries.summary_terms(D(spark, sf_dir)).select("doc_id", "rank", "term", *r6("weight"))
 
@@ -673,28 +674,28 @@ class _Fit:
         return classify.predictions(self.scores()).join(self.members, ["fold", "doc_id"]).select("fold", "label", "predicted")
 
 
-@add("tfidf_vocab", s.with_("select term, df, round(idf, 6) as idf from vo", **_M1))
+@add("tfidf_vocab", s.with_("select term, df, round(idf + 1e-9, 6) as idf from vo", **_M1))
 def tfidf_vocab(spark, sf_dir):
     return _Fit(spark, sf_dir).vocab.select("term", "df", *r6("idf"))
 
 
-@add("tfidf_vectors", s.with_("select doc_id, term, round(weight, 6) as weight from vx", **_M1))
+@add("tfidf_vectors", s.with_("select doc_id, term, round(weight + 1e-9, 6) as weight from vx", **_M1))
 def tfidf_vectors(spark, sf_dir):
     return _Fit(spark, sf_dir).vectors.select("doc_id", "term", *r6("weight"))
 
 
-@add("nb_priors", s.with_("select label, round(log_prior, 6) as log_prior from pr", **_M1))
+@add("nb_priors", s.with_("select label, round(log_prior + 1e-9, 6) as log_prior from pr", **_M1))
 def nb_priors(spark, sf_dir):
     return classify.priors(_Fit(spark, sf_dir).members).select("label", *r6("log_prior"))
 
 
-@add("nb_likelihood", s.with_("select label, term, round(log_prob, 6) as log_prob from lk", **_M1))
+@add("nb_likelihood", s.with_("select label, term, round(log_prob + 1e-9, 6) as log_prob from lk", **_M1))
 def nb_likelihood(spark, sf_dir):
     m = _Fit(spark, sf_dir)
     return classify.likelihood(m.vectors, m.members).select("label", "term", *r6("log_prob"))
 
 
-@add("nb_scores", s.with_("select doc_id, label, round(score, 6) as score from sc", **_M1))
+@add("nb_scores", s.with_("select doc_id, label, round(score + 1e-9, 6) as score from sc", **_M1))
 def nb_scores(spark, sf_dir):
     return _Fit(spark, sf_dir).scores().select("doc_id", "label", *r6("score"))
 
@@ -704,7 +705,7 @@ def nb_predict(spark, sf_dir):
     return classify.predictions(_Fit(spark, sf_dir).scores()).select("doc_id", "predicted")
 
 
-@add("nb_proba", s.with_("select doc_id, label, round(e / sum(e) over (partition by doc_id), 6) as probability from (select doc_id, label, exp(score - max(score) over (partition by doc_id)) as e from sc)", **_M1))
+@add("nb_proba", s.with_("select doc_id, label, round(e / sum(e) over (partition by doc_id) + 1e-9, 6) as probability from (select doc_id, label, exp(score - max(score) over (partition by doc_id)) as e from sc)", **_M1))
 def nb_proba(spark, sf_dir):
     return classify.probabilities(_Fit(spark, sf_dir).scores()).select("doc_id", "label", *r6("probability"))
 
@@ -746,7 +747,7 @@ def cv_metrics(spark, sf_dir):
     return classify.cross_validated(*L(spark, sf_dir)).select("fold", *r6(*_MT_COLS), "n")
 
 
-@add("clf_train", s.with_("select doc_id, predicted, round(p, 6) as confidence from (select *, row_number() over (partition by doc_id order by round(score, 9) desc, predicted) as rn from (select doc_id, label as predicted, score, e / sum(e) over (partition by doc_id) as p from (select *, exp(score - max(score) over (partition by doc_id)) as e from sc))) where rn = 1", **_M1))
+@add("clf_train", s.with_("select doc_id, predicted, round(p + 1e-9, 6) as confidence from (select *, row_number() over (partition by doc_id order by round(score, 9) desc, predicted) as rn from (select doc_id, label as predicted, score, e / sum(e) over (partition by doc_id) as p from (select *, exp(score - max(score) over (partition by doc_id)) as e from sc))) where rn = 1", **_M1))
 def clf_train(spark, sf_dir):
     docs, labels = L(spark, sf_dir)
     model = classify.DocumentClassifier()

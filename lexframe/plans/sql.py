@@ -36,7 +36,7 @@ def title(c: str) -> str:
 
 
 def with_(final: str, **tables: str) -> str:
-    return "with " + ",\n".join(f"{k} as ({v})" for k, v in tables.items()) + f"\n{final}"
+    return ("with " + ",\n".join(f"{k} as ({v})" for k, v in tables.items()) + "\n" if tables else "") + final
 
 
 def span_rows(source: str, pattern: str, flags: str = "", groups: int = 0, where: str = "") -> str:
@@ -221,7 +221,7 @@ def summary_tables(source: str) -> dict[str, str]:
         "ss1": "select doc_id, unnest(range(len(l)))::int as position, unnest(l) as s from ss0",
         "ss": f"select *, {SUMMARY_WORDS} as w, count(*) over (partition by doc_id) as sents from ss1",
         "tf": "select doc_id, position, term, count(*) as n, min(i) as i from (select doc_id, position, unnest(w) as term, unnest(range(len(w))) as i from ss) group by doc_id, position, term",
-        "bt": "select doc_id, term, count(*) as df, sum(n) as n, min(position * 1000000000 + i) as first from tf group by doc_id, term",
+        "bt": "select doc_id, term, count(*) as df, sum(n) as n, min(position::bigint * 1000000000 + i) as first from tf group by doc_id, term",
         "idf": "select bt.*, ln((1 + sents)::double / (1 + df)) + 1 as idf from bt join (select distinct doc_id, sents from ss) using (doc_id)",
         "doc": "select *, n::double / max(n) over (partition by doc_id) * idf as weight from idf",
         "st": "select tf.doc_id, position, tf.term, tf.n::double / max(tf.n) over (partition by tf.doc_id, position) * idf as weight, weight as dw from tf join doc using (doc_id, term)",
