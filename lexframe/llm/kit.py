@@ -7,6 +7,7 @@ result rather than a candidate, two independent ones are used or the bytes are c
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,17 +39,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame written to the shared folder and read back: it survives lost executors and ends the lineage."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_kept(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a DataFrame that `keep` returned, once nothing will read them again."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    # Spark deletes the shuffle files of a plan once the driver's JVM has collected it; nothing needs them any more.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def width(spark: SparkSession, df: DataFrame, per_mb: float = 8.0) -> int:
@@ -57,8 +53,15 @@ def width(spark: SparkSession, df: DataFrame, per_mb: float = 8.0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, round(size / per_mb)), 2)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of few rows for Python: texts are long, and a batch exists several times over on both sides."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 1001):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) alone, so that other columns can't clash; ids are longs."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import U64, WORDS, mix, slices, texts
+from lexframe.llm.kit import U64, WORDS, mix, slices, small_batches, texts
 
 BUCKETS = 1 << 18
 #: Upper bound of the number of labelled documents that training reads.
@@ -179,6 +179,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array([model.score(x) < threshold for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
