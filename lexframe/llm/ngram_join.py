@@ -5,9 +5,11 @@ sum of coordinate minima of two points bounds the overlap of their sets from abo
 point and a box's upper corner bounds it for all points in the box, so an R-tree over points (packed by set size, then
 by coordinates) gives all pairs that can reach the threshold. The pairs that survive are verified on the sets.
 
-One tree over all documents would be searched by all documents; points are dealt first. Sets that reach the threshold t
-share one of their (1 - t)|x| + 1 smallest shingle hashes, so each such hash names a block, blocks with the same members
-count once, blocks are cut by set size, and large ones into tiles. Documents with equal sets are one node throughout.
+One tree over all documents would be searched by all documents; points are dealt first. Under any fixed order of
+shingles, sets that reach the threshold t share one of their (1 - t)|x| + 1 first shingles, so each of those names a
+block; blocks with the same members count once, blocks are cut by set size, and large ones into tiles. The order is that
+of the hashes, except that shingles which are frequent in a sample of at most SAMPLE documents come last: that decides
+how large blocks are, never which pairs are found. Documents with equal sets are one node throughout.
 
 Classes are the components of the links. A block's tree first proposes, for each node, the partners of highest bound in
 other components, so that a group of near copies grows together in a linear number of verified pairs; when these find
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from lexframe.llm.components import components
 from lexframe.llm.kit import U64, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
 
-GROUPS, LEAF, TILE, BEST, SMALL = 32, 32, 16_384, 3, 64
+GROUPS, LEAF, TILE, SMALL = 32, 32, 16_384, 64
+#: Documents of the sample by which shingles are ordered, how many of them make a shingle frequent, and how many of those are told apart.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 3, 1 << 17
 _LOW48, _LOW32 = U64((1 << 48) - 1), U64((1 << 32) - 1)
 
 
@@ -142,7 +146,24 @@ def _documents(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, node long, size long, point binary")
 
 
-def _blocks(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
+def _frequent(rows: DataFrame, found: DataFrame, n: int) -> np.ndarray:
+    """The sorted names of the shingles that are frequent in a sample; at most MOST_FREQUENT (1 MB)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = [shingles(x, n) for x in set(raw_texts(part.column("text")))]
+                name, times = np.unique(np.concatenate([np.zeros(0, U64), *own]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(times.astype(np.int64))], ["name", "n"])
+
+    total = found.count()
+    sample = rows.sample(min(1.0, SAMPLE / max(1, total)), seed=5)
+    names = sample.mapInArrow(counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    out = names.orderBy(F.desc("n"), "name").limit(MOST_FREQUENT).select("name").toArrow().column("name").to_numpy()
+    return np.sort(out.view(U64))
+
+
+def _blocks(rows: DataFrame, n: int, percent: int, ranges: int, frequent: np.ndarray) -> DataFrame:
     """(block, node) of the blocks with several nodes; blocks with the same members are one."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +173,8 @@ def _blocks(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
                 for raw in set(raw_texts(part.column("text"))):
                     own = shingles(raw, n)
                     if len(own):
-                        first = own[: len(own) - -(-len(own) * percent // 100) + 1]
+                        late = np.isin(own, frequent, assume_unique=True)
+                        first = np.concatenate([own[~late], own[late]])[: len(own) - -(-len(own) * percent // 100) + 1]
                         key.append(first)
                         node.append(np.full(len(first), np.int64(set_name(own)).view(U64)))
                 k, v = np.concatenate(key), np.concatenate(node)
@@ -189,54 +211,40 @@ def _blocks(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
     return found.join(one, ["block", "range"]).select("block", "node")
 
 
-def _proposals(members: DataFrame, percent: int, ranges: int, best: int | None) -> DataFrame:
-    """(a, b) of nodes of different components in a block that can reach the threshold; with `best`, those of highest
-    bound for either node alone. Members: (block, tile, node, component, size, point)."""
+def _proposals(members: DataFrame, percent: int, ranges: int, best: bool) -> DataFrame:
+    """(a, b) of nodes of different components in a block that can reach the threshold; with `best`, only the partner of
+    highest bound for each node over all its blocks. Members: (block, tile, node, component, size, point)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("size", "ascending"), ("node", "ascending")])
         block, tile, node, part, sizes = (table.column(c).to_numpy() for c in ("block", "tile", "node", "component", "size"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        top_bound = np.full((best or 1, len(node)), -1, np.int64)
-        top_row = np.full((best or 1, len(node)), -1, np.int64)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        top_bound, top_row = np.full(len(node), -1, np.int64), np.full(len(node), -1, np.int64)
         for i, j, bound in feasible(block, tile, sizes, points, percent):
             ok = part[i] != part[j]
             i, j, bound = i[ok], j[ok], bound[ok]
-            if best is None:
-                out_a.append(node[i]), out_b.append(node[j])
+            if not best:
+                for x, y in zip(out, (node[i], node[j], bound), strict=True):
+                    x.append(y)
                 continue
             for x, y in ((i, j), (j, i)):
-                _raise(top_bound, top_row, x, y, bound)
-        if best is not None:
-            for rows_ in top_row:
-                have = np.flatnonzero(rows_ >= 0)
-                out_a.append(node[have]), out_b.append(node[rows_[have]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)]
-        return pa.table({"a": pa.array(low[new]), "b": pa.array(high[new])})
-
-    return members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(run, "a long, b long").distinct()
-
-
-def _raise(top_bound: np.ndarray, top_row: np.ndarray, x: np.ndarray, y: np.ndarray, bound: np.ndarray) -> None:
-    """Puts partners y of rows x among the rows' best."""
-    if not len(x):
-        return
-    order = np.lexsort((y, -bound, x))
-    x, y, bound = x[order], y[order], bound[order]
-    place = np.arange(len(x)) - np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1]), np.arange(len(x)), 0))
-    for k in range(len(top_bound)):
-        at = place == k
-        a, b, c = x[at], y[at], bound[at]
-        for slot in range(len(top_bound)):
-            better = c > top_bound[slot, a]
-            old_bound, old_row = top_bound[slot, a].copy(), top_row[slot, a].copy()
-            top_bound[slot, a], top_row[slot, a] = np.where(better, c, old_bound), np.where(better, b, old_row)
-            c, b = np.where(better, old_bound, c), np.where(better, old_row, b)
+                order = np.lexsort((y, bound, x))  # of equal rows the last assignment stays
+                x, y, b = x[order], y[order], bound[order]
+                last = np.append(x[1:] != x[:-1], True)[: len(x)]
+                x, y, b = x[last], y[last], b[last]
+                better = b > top_bound[x]
+                top_bound[x[better]], top_row[x[better]] = b[better], y[better]
+        have = np.flatnonzero(top_row >= 0)
+        for x, y in zip(out, (node[have], node[top_row[have]], top_bound[have]), strict=True):
+            x.append(y)
+        a, b, bound = (np.concatenate(x) for x in out)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "bound": pa.array(bound)})
+
+    found = members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(run, "a long, b long, bound long")
+    if best:
+        found = found.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m")).select("a", "m.b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
@@ -271,7 +279,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     # A block is cut by set size: sets that reach the threshold lie in the same step of factor 100 / percent or the next.
     step = F.floor(F.ln(F.col("size").cast("double")) / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
-    members = _blocks(rows, n, percent, ranges).join(nodes.select("node", "size", "point"), "node").withColumn("step", step)
+    members = _blocks(rows, n, percent, ranges, _frequent(rows, found, n)).join(nodes.select("node", "size", "point"), "node").withColumn("step", step)
     members = members.select("block", "node", "size", "point", F.explode(F.array(F.col("step") - 1, F.col("step"))).alias("step"))
     counts = members.groupBy("block", "step").agg(F.count("*").alias("m")).where("m > 1")
     members = members.join(counts, ["block", "step"])
@@ -302,20 +310,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in own], pa.int64()), pa.array([squeeze.compress(x) for _, x in own], pa.binary())], ["node", "body"])
 
     asked = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    bodies = keep(rows.join(asked, "doc_id").select("node", "text").mapInArrow(squeezed, "node long, body binary").dropDuplicates(["node"]), "join-bodies")
+    bodies = keep(rows.join(asked, "doc_id").dropDuplicates(["doc_id"]).select("node", "text").mapInArrow(squeezed, "node long, body binary"), "join-bodies")  # dealt by doc_id already
 
     parts = members.select("node").distinct().select("node", F.col("node").alias("component"))
     done = spark.createDataFrame([], "a long, b long, linked boolean")
-    best: int | None = BEST
+    best = True
     while True:
         now = members.join(parts, "node").select("block", "tile", "node", "component", "size", "point")
         pairs = _proposals(now, percent, ranges, best).join(done.select("a", "b"), ["a", "b"], "left_anti")
         fresh = keep(_verified(pairs, bodies, n, percent), "join-verified")
         done = done.unionByName(fresh)
-        if best is None:
+        if not best:
             break
         if fresh.where("linked").isEmpty():
-            best = None
+            best = False
             continue
         labels = components(done.where("linked").select("a", "b"))
         parts = keep(members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "join-parts")
