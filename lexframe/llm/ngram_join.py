@@ -11,10 +11,11 @@ block; blocks with the same members count once, blocks are cut by set size, and
 of the hashes, except that shingles which are frequent in a sample of at most SAMPLE documents come last: that decides
 how large blocks are, never which pairs are found. Documents with equal sets are one node throughout.
 
-Classes are the components of the links. A block's tree first proposes, for each node, the partners of highest bound in
-other components, so that a group of near copies grows together in a linear number of verified pairs; when these find
-no new link, every remaining pair of different components that the bound allows is verified. Pairs inside a component
-are not needed, and no others are left out.
+Classes are the components of the links. The pairs that the trees of a task find are verified all where they are
+hardly more than its members. Where they are many, a spanning forest over the components so far is verified, by bound
+first, so that a group of near copies grows together in a linear number of pairs and few turns; when a turn finds
+few new links, every remaining pair of different components that the bound allows is verified. Pairs inside a component are
+not needed, and no others are left out.
 
 Defined cases: words are runs of bytes other than space and \\t \\n \\v \\f \\r after A-Z became lower case; fewer words than
 n make one shingle, none no shingle, and a document without shingles is linked with nothing; null texts are empty; rows
@@ -38,6 +39,8 @@ from lexframe.llm.kit import U64, keep, mix, planes, raw_texts, shingle_names, s
 GROUPS, LEAF, TILE, SMALL = 32, 32, 16_384, 64
 #: Documents of the sample by which shingles are ordered, how many of them make a shingle frequent, and how many of those are told apart.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 3, 1 << 17
+#: With a smaller share of links in a turn, all pairs that are left are verified.
+FEW = 0.05
 _LOW48, _LOW32 = U64((1 << 48) - 1), U64((1 << 32) - 1)
 
 
@@ -211,44 +214,84 @@ def _blocks(rows: DataFrame, n: int, percent: int, ranges: int, frequent: np.nda
     return found.join(one, ["block", "range"]).select("block", "node")
 
 
-def _proposals(members: DataFrame, percent: int, ranges: int, best: bool) -> DataFrame:
-    """(a, b) of nodes of different components in a block that can reach the threshold; with `best`, only the partner of
-    highest bound for each node over all its blocks. Members: (block, tile, node, component, size, point)."""
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The indices of the edges of a spanning forest of the nodes 0..n-1 in which earlier edges are preferred."""
+    top, at, chosen = np.arange(n), np.arange(len(x)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = top[x[at]], top[y[at]]
+        live = a != b
+        at, a, b = at[live], a[live], b[live]
+        if not len(at):
+            return np.unique(np.concatenate(chosen))
+        first = np.full(n, -1, np.int64)
+        first[np.stack([a, b], 1).ravel()[::-1]] = np.repeat(np.arange(len(at)), 2)[::-1]  # the first edge of each tree
+        tree = np.flatnonzero(first >= 0)
+        e = first[tree]
+        chosen.append(at[e])
+        up = np.arange(n)
+        up[tree] = np.where(a[e] == tree, b[e], a[e])
+        both = (up[up] == np.arange(n)) & (np.arange(n) < up)
+        up[both] = np.flatnonzero(both)
+        while (up[up] != up).any():
+            up = up[up]
+        top = up[top]
+
+
+def _proposals(members: DataFrame, percent: int, ranges: int, turn: int | None) -> DataFrame:
+    """(a, b, part_a, part_b) of nodes of different components in a block that can reach the threshold, with a < b.
+
+    With a turn, a task that has many more such pairs than members proposes a spanning forest of their components (by
+    bound in turn 0, then in another arbitrary order each turn, with as many other pairs as a small multiple of its
+    members) and says so in a row of nulls.
+    Members: (block, tile, node, component, size, point)."""
+    most = 1 if turn == 0 else 4
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("size", "ascending"), ("node", "ascending")])
         block, tile, node, part, sizes = (table.column(c).to_numpy() for c in ("block", "tile", "node", "component", "size"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-        top_bound, top_row = np.full(len(node), -1, np.int64), np.full(len(node), -1, np.int64)
-        for i, j, bound in feasible(block, tile, sizes, points, percent):
-            ok = part[i] != part[j]
-            i, j, bound = i[ok], j[ok], bound[ok]
-            if not best:
-                for x, y in zip(out, (node[i], node[j], bound), strict=True):
-                    x.append(y)
-                continue
-            for x, y in ((i, j), (j, i)):
-                order = np.lexsort((y, bound, x))  # of equal rows the last assignment stays
-                x, y, b = x[order], y[order], bound[order]
-                last = np.append(x[1:] != x[:-1], True)[: len(x)]
-                x, y, b = x[last], y[last], b[last]
-                better = b > top_bound[x]
-                top_bound[x[better]], top_row[x[better]] = b[better], y[better]
-        have = np.flatnonzero(top_row >= 0)
-        for x, y in zip(out, (node[have], node[top_row[have]], top_bound[have]), strict=True):
-            x.append(y)
-        a, b, bound = (np.concatenate(x) for x in out)
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "bound": pa.array(bound)})
-
-    found = members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(run, "a long, b long, bound long")
-    if best:
-        found = found.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m")).select("a", "m.b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        names, of = np.unique(part, return_inverse=True)
+        have, waiting, pruned = [np.zeros((0, 2), np.int64)], 0, False
+
+        def ranked(e: np.ndarray) -> np.ndarray:
+            i, j = e.T
+            arbitrary = mix(mix(node[i].view(U64)) + mix(node[j].view(U64)) + U64(turn))
+            if turn:
+                return e[np.argsort(arbitrary)]
+            bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[i[k : k + (1 << 17)]], points[j[k : k + (1 << 17)]]).sum(1) for k in range(0, len(i), 1 << 17))])
+            return e[np.lexsort((arbitrary, -(256 * bound // (sizes[i] + sizes[j] - bound))))]
+
+        def thinned(e: np.ndarray) -> np.ndarray:
+            e = ranked(e)
+            chosen = forest(of[e[:, 0]], of[e[:, 1]], len(names))
+            if turn:
+                chosen = np.concatenate([chosen, np.setdiff1d(np.arange(len(e)), chosen)[: max(0, most * len(node) - len(chosen))]])
+            return e[chosen]
+
+        for i, j, _ in feasible(block, tile, sizes, points, percent):
+            ok = of[i] != of[j]
+            i, j = i[ok], j[ok]
+            less = node[i] < node[j]
+            have.append(np.stack([np.where(less, i, j), np.where(less, j, i)], 1))
+            waiting += len(i)
+            if turn is not None and waiting > max(1 << 20, 8 * len(node)):
+                have, pruned = [thinned(np.concatenate(have))], True
+                waiting = len(have[0])
+        e = np.concatenate(have)
+        _, once = np.unique(np.stack([node[e[:, 0]], node[e[:, 1]]], 1), axis=0, return_index=True)
+        e = e[once]
+        if turn is not None and len(e) > most * len(node):
+            e, pruned = thinned(e), True
+        i, j = e.T
+        out = pa.table({"a": pa.array(node[i]), "b": pa.array(node[j]), "part_a": pa.array(part[i]), "part_b": pa.array(part[j])})
+        return pa.concat_tables([out, pa.table({c: pa.array([None], pa.int64()) for c in out.column_names})]) if pruned else out
+
+    found = members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(run, "a long, b long, part_a long, part_b long")
+    return found.distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, linked) of each pair, on the sets themselves."""
+    """(a, b, part_a, part_b, linked) of each pair, on the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdDecompressor()
@@ -261,11 +304,11 @@ def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
                 one, two = last[1], shingles(small.decompress(y), n)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 linked.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "part_a", "part_b")), pa.array(linked, pa.bool_())], ["a", "b", "part_a", "part_b", "linked"])
 
     left = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
     right = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "part_a", "part_b", "body_a", "body_b").mapInArrow(run, "a long, b long, part_a long, part_b long, linked boolean")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -313,22 +356,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     bodies = keep(rows.join(asked, "doc_id").dropDuplicates(["doc_id"]).select("node", "text").mapInArrow(squeezed, "node long, body binary"), "join-bodies")  # dealt by doc_id already
 
     parts = members.select("node").distinct().select("node", F.col("node").alias("component"))
-    done = spark.createDataFrame([], "a long, b long, linked boolean")
-    best = True
+    done = spark.createDataFrame([], "a long, b long")
+    turn: int | None = 0
     while True:
         now = members.join(parts, "node").select("block", "tile", "node", "component", "size", "point")
-        pairs = _proposals(now, percent, ranges, best).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = keep(_verified(pairs, bodies, n, percent), "join-verified")
-        done = done.unionByName(fresh)
-        if not best:
+        pairs = keep(_proposals(now, percent, ranges, turn).join(done, ["a", "b"], "left_anti"), "join-proposed")
+        pruned = not pairs.where("a is null").isEmpty()
+        fresh = keep(_verified(pairs.where("a is not null"), bodies, n, percent), "join-verified")
+        done = done.unionByName(fresh.select("a", "b"))
+        links = fresh.where("linked")
+        tried, met = fresh.agg(F.count("*"), F.count_if("linked")).first()
+        if met:
+            labels = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).withColumnRenamed("node", "part")
+            merged = parts.join(labels.withColumnRenamed("component", "whole"), F.col("component") == F.col("part"), "left")
+            parts = keep(merged.select("node", F.coalesce("whole", "component").alias("component")), "join-parts")
+        if not pruned:
             break
-        if fresh.where("linked").isEmpty():
-            best = False
-            continue
-        labels = components(done.where("linked").select("a", "b"))
-        parts = keep(members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "join-parts")
-    labels = components(done.where("linked").select("a", "b"))
-    whole = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+        turn = turn + 1 if met > tried * FEW else None
+    whole = nodes.select("node", "doc_id").join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = whole.select("node", "component").join(smallest, "component").select("node", "component_id")
     own = found.select("doc_id", "node", F.col("size").alias("n_shingles"))
