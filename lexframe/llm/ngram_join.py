@@ -3,7 +3,8 @@
 The shingles of a document are hashed into GROUPS groups; the numbers of its shingles in each group are a point. The
 sum of coordinate minima of two points bounds the overlap of their sets from above, and the sum of the minima of a
 point and a box's upper corner bounds it for all points in the box, so an R-tree over points (packed by set size, then
-by coordinates) gives all pairs that can reach the threshold. The pairs that survive are verified on the sets.
+by coordinates) gives all pairs that can reach the threshold. Of these, pairs that the same bound over FINE groups
+allows are verified on the sets; without it, sets of over about a thousand shingles would nearly all be verified.
 
 One tree over all documents would be searched by all documents; points are dealt first. Under any fixed order of
 shingles, sets that reach the threshold t share one of their (1 - t)|x| + 1 first shingles, so each of those names a
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from lexframe.llm.components import components
 from lexframe.llm.kit import U64, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
 
-GROUPS, LEAF, TILE, SMALL = 32, 32, 16_384, 64
+GROUPS, FINE, LEAF, TILE, SMALL = 32, 256, 32, 16_384, 64  # FINE is a multiple of GROUPS
 #: Documents of the sample by which shingles are ordered, how many of them make a shingle frequent, and how many of those are told apart.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 3, 1 << 17
 #: With a smaller share of links in a turn, all pairs that are left are verified.
@@ -108,8 +109,42 @@ class RTree:
                     yield i[good], j[good], bound[good]
 
 
-def feasible(block: np.ndarray, tile: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def packed(own: np.ndarray) -> bytes:
+    """The counts of a set's shingles in FINE groups, as the byte planes that are not empty."""
+    count = np.bincount((own & U64(FINE - 1)).astype(np.int64), minlength=FINE)
+    return planes(count, max(1, (int(count.max()).bit_length() + 7) // 8))
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    most = max([len(x) for x in points], default=FINE) // FINE
+    out = np.zeros((len(points), FINE), np.uint8 if most == 1 else np.uint16 if most == 2 else np.int64)
+    size = np.array([len(x) // FINE for x in points])
+    for k in range(1, most + 1):
+        rows = np.flatnonzero(size == k)
+        raw = np.frombuffer(b"".join(points[r] for r in rows.tolist()), np.uint8).reshape(-1, k, FINE)
+        for p in range(k):
+            out[rows] |= raw[:, p].astype(out.dtype) << (8 * p)
+    return out
+
+
+def shared(fine: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The sums of minima of the rows i and j, a bound of their overlap."""
+    step = 1 << 14
+    return np.concatenate([np.zeros(0, np.int64), *(np.minimum(fine[i[k : k + step]], fine[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step))])
+
+
+def feasible(block: np.ndarray, tile: np.ndarray, sizes: np.ndarray, fine: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, bound) of rows of the same block whose bound reaches the threshold; rows are sorted by block, then size.
+    The bound over GROUPS groups chooses the pairs for that over FINE groups."""
+    points = fine.reshape(len(fine), FINE // GROUPS, GROUPS).sum(1, dtype=np.int32)
+    for i, j, _ in _coarse(block, tile, sizes, points, percent):
+        bound = shared(fine, i, j)
+        good = bound >= least_overlap(sizes[i], sizes[j], percent)
+        yield i[good], j[good], bound[good]
+
+
+def _coarse(block: np.ndarray, tile: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of rows that the bound over GROUPS groups allows.
     Of a block with two tiles, pairs within a tile are left to the block that has that tile alone."""
     count = np.diff(np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)))
     of = np.repeat(count, count)
@@ -143,7 +178,7 @@ def _documents(rows: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(x, n) for x in raw_texts(part.column("text"))]
-                points = [np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() for s in sets]
+                points = [packed(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary())], ["doc_id", "node", "size", "point"])
 
     return rows.mapInArrow(run, "doc_id long, node long, size long, point binary")
@@ -249,7 +284,7 @@ def _proposals(members: DataFrame, percent: int, ranges: int, turn: int | None)
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("size", "ascending"), ("node", "ascending")])
         block, tile, node, part, sizes = (table.column(c).to_numpy() for c in ("block", "tile", "node", "component", "size"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
+        points = unpacked(table.column("point").to_pylist())
         names, of = np.unique(part, return_inverse=True)
         have, waiting, pruned = [np.zeros((0, 2), np.int64)], 0, False
 
@@ -258,7 +293,7 @@ def _proposals(members: DataFrame, percent: int, ranges: int, turn: int | None)
             arbitrary = mix(mix(node[i].view(U64)) + mix(node[j].view(U64)) + U64(turn))
             if turn:
                 return e[np.argsort(arbitrary)]
-            bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[i[k : k + (1 << 17)]], points[j[k : k + (1 << 17)]]).sum(1) for k in range(0, len(i), 1 << 17))])
+            bound = shared(points, i, j)
             return e[np.lexsort((arbitrary, -(256 * bound // (sizes[i] + sizes[j] - bound))))]
 
         def thinned(e: np.ndarray) -> np.ndarray:
@@ -336,7 +371,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     def partnered(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("size", "ascending"), ("node", "ascending")])
         block, tile, sizes = (table.column(c).to_numpy() for c in ("block", "tile", "size"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
+        points = unpacked(table.column("point").to_pylist())
         good = np.zeros(len(block), bool)
         for i, j, _ in feasible(block, tile, sizes, points, percent):
             good[i] = good[j] = True
