@@ -115,3 +115,29 @@ def test_query(spark):
     want = brute(rows)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in op3_ngram_join(spark, d).collect()) == want
     assert any(i != c for i, _, c in want)
+
+
+def test_counts_round_trip():
+    rng = np.random.default_rng(9)
+    sets = [np.zeros(0, np.uint64), rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(0, 1 << 55, 90_000, dtype=np.uint64) << np.uint64(3), np.arange(70_000, dtype=np.uint64) << np.uint64(8)]
+    want = [np.bincount((s & np.uint64(ngram_join.FINE - 1)).astype(int), minlength=ngram_join.FINE) for s in sets]
+    for some in (sets[:2], sets[:3], sets):
+        got = ngram_join.unpacked([ngram_join.packed(s) for s in some])
+        assert (got == np.array(want[: len(some)])).all()
+    assert ngram_join.unpacked([]).shape == (0, ngram_join.FINE)
+
+
+def test_forest_spans_and_prefers_earlier_edges():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 3), (40, 60), (200, 2_000)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        up, want = list(range(n)), []
+        for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            if a != b:
+                up[a] = b
+                want.append(k)
+        assert ngram_join.forest(x, y, n).tolist() == want
