@@ -6,6 +6,9 @@ only the boundaries next to it. Chunks of two lines and more whose hash occurs a
 candidate is compared byte by byte with the first one of its hash, by document id and then place, and removed if equal;
 that first one stays.
 
+Chunks are what the SQL defines, and they leave most runs of a few lines. `dedup_runs` takes out whole repeated runs
+instead: all of two or more consecutive lines that stand together earlier too.
+
 Defined cases: null and empty texts stay as they are; a chunk of one line is never removed; rows with null ids are
 neither removed from nor compared with; rows with equal ids have equal chunks, which don't count as repeats of each
 other; the line end after a removed chunk goes with it; other columns are ignored.
@@ -99,6 +102,62 @@ def remove_chunks(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_chunks long, n_removed_lines long, n_removed_chunks long")
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, at, one, two) of each two consecutive lines: the place of the first and two names of both."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            ids, places, names = [], [], []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                lines = (text or "").encode().split(b"\n")
+                names += [hashlib.md5(a + b"\n" + b).digest() for a, b in zip(lines[:-1], lines[1:], strict=True)]
+                ids.append(np.full(len(lines) - 1, doc_id, dtype=np.int64))
+                places.append(np.arange(len(lines) - 1, dtype=np.int64))
+            both = np.frombuffer(b"".join(names), dtype="<i8").reshape(-1, 2)
+            columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, places)] + [np.ascontiguousarray(both[:, k]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "at", "one", "two"])
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, at): the places of consecutive lines that stand together earlier too, by document id and then place.
+
+    Each two consecutive lines are a seed, so a run of any length from two lines on is covered from its first line to its
+    last by the pairs that overlap in it. Names have 128 bits and decide by themselves. The first pair of each name stays
+    and so do pairs that overlap it. A removed line has an equal one that is left: the pair that it is removed for stands
+    strictly earlier.
+    """
+    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    pairs = keep(rows.mapInArrow(_pairs, "doc_id long, at long, one long, two long"), "line-pairs")
+    place = F.struct("doc_id", "at")
+    firsts = pairs.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("one", "two", "first")
+    later = (F.col("doc_id") > F.col("first.doc_id")) | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") >= F.col("first.at") + 2)
+    return pairs.join(firsts, ["one", "two"]).where(later).select("doc_id", "at").distinct()
+
+
+def remove_runs(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, n_lines, n_removed_lines) after both lines of each pair of `gone` are taken out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out: tuple[list, ...] = ([], [], [])
+                for text, places in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                    lines = (text or "").encode().split(b"\n")
+                    lost = {x for at in places or () for x in (at, at + 1)}
+                    kept = [x for k, x in enumerate(lines) if k not in lost]
+                    for x, y in zip(out, (text if not lost else b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)), strict=True):
+                        x.append(y)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out[0], pa.string()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["doc_id", "text", "n_lines", "n_removed_lines"])
+
+    lost = gone.groupBy("doc_id").agg(F.collect_list("at").alias("gone"))  # at most the lines of one document
+    rows = texts(docs, id_col, text_col).join(lost, "doc_id", "left").select("doc_id", "text", "gone")
+    return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_removed_lines long")
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`remove_runs` of the `repeated_runs`."""
+    return remove_runs(docs, repeated_runs(docs, id_col, text_col), id_col, text_col)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`remove_chunks` of the `repeated_chunks`."""
     return remove_chunks(docs, repeated_chunks(docs, id_col, text_col), id_col, text_col)

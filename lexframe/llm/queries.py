@@ -32,6 +32,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_runs(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer("byte_bpe_50k.tiktoken")
     rows = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
@@ -99,5 +104,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_ngram_join": op3_ngram_join, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup, "op1_line_runs": op1_line_runs, "op2_byte_bpe": op2_byte_bpe, "op3_ngram_join": op3_ngram_join, "op4_licenses": op4_licenses, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
