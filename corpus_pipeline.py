@@ -31,6 +31,15 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.select(*[F.coalesce("rest", "text").alias(c) if c == "text" else F.when(F.col("id").isNull(), F.col(c)).otherwise(F.length("rest")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """Drops the documents with the text of a smaller id, byte for byte; null and empty texts stay. All chunks of such a
+    document are repeats, so new_lines leaves the same of all others as it does with the copies there."""
+    rows = docs.where("doc_id is not null and text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"))
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    gone = rows.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near duplicates."""
     classes = ngram_join.classes(docs, n=5, percent=80)
@@ -60,5 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        if stage is new_lines:  # it would leave stubs of copies, which the join can't tell from other documents
+            docs = keep(without_copies(docs), "exact-copies")
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

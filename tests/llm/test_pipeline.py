@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions on a small table."""
 
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -99,5 +100,27 @@ def test_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_planted_copies_go(spark, tmp_path):
+    rng = random.Random(4)
+    fresh = lambda i: "\n".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(9)) for _ in range(6 + i))
+    first = {i: fresh(i) for i in range(20)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in first.items()] + [(100 + 20 * k + i, t, "en", "s", len(t)) for k in range(3) for i, t in first.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(first)
+    odd = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a"), (3, ""), (4, ""), (5, None), (6, None), (1, "a")], "doc_id long, text string")
+    assert sorted((r.doc_id for r in corpus_pipeline.without_copies(odd).collect()), key=str) == [1, 1, 3, 4, 5, 6, None]
+
+
+def test_copies_leave_the_rest_alike(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    own = corpus_pipeline.without_copies(docs)
+    before, after = ({r.doc_id: r.text for r in corpus_pipeline.new_lines(spark, d, DIR).collect()} for d in (docs, own))
+    ids = {r.doc_id for r in own.select("doc_id").collect()}
+    assert len(before) > len(after) and after == {i: t for i, t in before.items() if i in ids}
+
+
 def test_public_pattern():
     assert public_tokenizers.PATTERN
