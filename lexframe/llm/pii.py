@@ -4,8 +4,8 @@ Four kinds of values are found by fixed patterns: e-mail addresses, IP addresses
 distinct value is a protected entity. Corpus co-occurrence then estimates how strongly a term reveals an entity: over
 documents, PMI(t; e) = log2(n_te * N / (n_t * n_e)) bits of the IC(e) = log2(N / n_e) bits that identify the entity,
 where a term belongs to an entity if it stands within REACH words of it. A term whose PMI is at least `remove` times
-IC(e) is removed, at least `generalise` times it is generalised; either needs `support` documents in which the words
-around the entity differ, so copies of one passage are no evidence.
+IC(e) is removed, at least `generalise` times it is generalised. `detect` holds every observed pair against these
+thresholds; a `support` above one asks for so many different contexts of an entity and term, so copies count as one.
 
 Defined cases: a null text is empty; offsets count code points, ends are exclusive; a value in every document has no
 information and no term reveals it; numbers of documents count distinct ids, rows with null ids report their base spans
@@ -174,7 +174,7 @@ def disclosing(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     return rated.select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = 1) -> DataFrame:
     """(doc_id, base, terms): the base spans of each row, and the spans (start, end, action) of the terms near them that
     disclose an entity."""
     found = keep(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-found")

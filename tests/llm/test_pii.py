@@ -98,6 +98,16 @@ def test_rows(spark):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_copies_disclose(spark):
+    rows = [(i, f"filler {i % 7} words, then ask quibble at q@x.example.com today") for i in range(30, 60)]
+    rows += [(i, "other words, then ask nobody today") for i in range(60, 300)]
+    rows += [(i, "the same passage names quimby at z@x.example.com again") for i in range(300, 340)]
+    rows += [(900, "only once zephyrine at once@x.example.com today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(w in t for t in clean.values() for w in ("quimby", "zephyrine", "quibble", "@")) and all("today" in clean[i] for i in range(60, 300))
+
+
 def test_query(spark):
     import hashlib
 
