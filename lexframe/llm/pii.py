@@ -3,9 +3,10 @@
 Four kinds of values are found by fixed patterns: e-mail addresses, IP addresses, card numbers and phone numbers. Each
 distinct value is a protected entity. Corpus co-occurrence then estimates how strongly a term reveals an entity: over
 documents, PMI(t; e) = log2(n_te * N / (n_t * n_e)) bits of the IC(e) = log2(N / n_e) bits that identify the entity,
-where a term belongs to an entity if it stands within REACH words of it. A term whose PMI is at least `remove` times
-IC(e) is removed, at least `generalise` times it is generalised. `detect` holds every observed pair against these
-thresholds; a `support` above one asks for so many different contexts of an entity and term, so copies count as one.
+where a term belongs to all entities that its documents hold. A term whose PMI is at least `remove` times
+IC(e) is removed, at least `generalise` times it is generalised, at each place in the documents that hold the entity.
+`detect` holds every observed pair against these thresholds. `find` and `disclosing` are a narrower measure that `detect`
+doesn't use: terms within REACH words of an entity, seen in `support` different contexts.
 
 Defined cases: a null text is empty; offsets count code points, ends are exclusive; a value in every document has no
 information and no term reveals it; numbers of documents count distinct ids, rows with null ids report their base spans
@@ -174,16 +175,67 @@ def disclosing(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     return rated.select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = 1) -> DataFrame:
-    """(doc_id, base, terms): the base spans of each row, and the spans (start, end, action) of the terms near them that
-    disclose an entity."""
-    found = keep(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-found")
-    told = disclosing(found, docs, id_col, text_col, generalise, remove, support)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    spans = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-    terms = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))  # at most the words near the spans of one document
+def find_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans, entities, words): the base spans of each row, its distinct entities, and every word outside all
+    spans if there are any, as (term, start, end)."""
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    word_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                spans, entities, words = [], [], []
+                for text in part.column("text").to_pylist():
+                    own = base_spans(text or "")
+                    spans.append([{"start": a, "end": b, "kind": k} for a, b, k in own])
+                    entities.append(sorted({_name(_value(text[a:b], k)) for a, b, k in own}))
+                    words.append([{"term": _name(text[x:y].lower()), "start": x, "end": y} for x, y in free_words(text, own)] if own else [])
+                columns = [pa.array(spans, span_type), pa.array(entities, pa.list_(pa.int64())), pa.array(words, word_type)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "spans", "entities", "words"])
+
+    schema = "doc_id long, spans array<struct<start: bigint, end: bigint, kind: string>>, entities array<bigint>, words array<struct<term: bigint, start: bigint, end: bigint>>"
+    return texts(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def free_words(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words that don't overlap a span; spans are in order of their starts."""
+    k, covered = 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            covered = max(covered, spans[k][1])
+            k += 1
+        if covered <= m.start():
+            yield m.span()
+
+
+def disclosing_whole(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(entity, term, ratio, action) of the terms that reveal an entity beyond the threshold, where a term belongs to all
+    entities of its document: n_te, n_t and n_e count whole documents alike."""
+    n = docs.where(F.col(id_col).isNotNull()).count()
+    own = found.where("doc_id is not null and size(entities) > 0").select("doc_id", "entities", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("terms"))
+    held = own.select("doc_id", F.explode("entities").alias("entity"), "terms")
+    n_e = held.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_te = held.select("entity", "doc_id", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = n_te.join(n_e, "entity").join(document_counts(docs, id_col, text_col), "term")
+    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
+    ratio = F.round(pmi / F.log2(F.lit(float(n)) / F.col("n_e")), 9)
+    rated = pairs.where(F.col("n_e") < n).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    return rated.select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(doc_id, base, terms): the base spans of each row, and the spans (start, end, action) of all occurrences of the
+    terms that disclose an entity of the document."""
+    found = keep(find_whole(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    told = disclosing_whole(found, docs, id_col, text_col, generalise, remove)
+    own = found.where("doc_id is not null and size(entities) > 0").select("row", "entities", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("term"))
+    own = own.select("row", F.explode("entities").alias("entity"), "term").select("row", "entity", F.explode("term").alias("term"))
+    acts = own.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("action").alias("action"))
+    acts = acts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("acts"))  # at most the distinct words of one document
+    rows = found.join(acts, "row", "left")
+    terms = F.filter(F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.col("acts")[w["term"]].alias("action"))), lambda t: t["action"].isNotNull())
     empty = F.array().cast("array<struct<start: bigint, end: bigint, action: string>>")
-    return found.join(terms, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", empty).alias("terms"))
+    return rows.select("doc_id", F.col("spans").alias("base"), F.when(F.col("acts").isNull(), empty).otherwise(terms).alias("terms"))
 
 
 def joined(spans: Column) -> Column:

@@ -108,6 +108,41 @@ def test_copies_disclose(spark):
     assert not any(w in t for t in clean.values() for w in ("quimby", "zephyrine", "quibble", "@")) and all("today" in clean[i] for i in range(60, 300))
 
 
+def test_whole_documents(spark):
+    rng = random.Random(9)
+    common = ["the", "of", "and", "on", "er", "ti"]
+    pad = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, pad(30)) for i in range(80)]
+    rows += [(100 + i, f"Quibble{i % 4} {pad(40)} mail m{i % 4}@x.example.com or 10.0.0.{i % 3} {pad(25)} quibble{i % 4}, street{i % 5}") for i in range(24)]
+    rows += [(200 + i, f"street{i % 5} {pad(9)}") for i in range(9)] + [(300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n, n_t, n_e, words, want = len(rows), Counter(), Counter(), {}, {}
+    n_te = Counter()
+    for i, text in rows:
+        spans = plain(text or "")
+        words[i] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", text or "") if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        entities = {pii._value(text[a:b], k) for a, b, k in spans}
+        n_t.update(set(re.findall(r"\w+", (text or "").lower())))
+        n_e.update(entities)
+        n_te.update((e, t) for e in entities for t in {t for *_, t in words[i]})
+        want[i] = entities
+    ratio = {(e, t): math.log2(c * n / (n_t[t] * n_e[e])) / math.log2(n / n_e[e]) for (e, t), c in n_te.items()}
+    act = lambda r: "remove" if r >= pii.REMOVE - 1e-9 else "generalise"
+    plainly = {i: sorted((a, b, max(map(act, rs))) for a, b, t in words[i] if (rs := [ratio[e, t] for e in es if ratio[e, t] >= pii.GENERALISE - 1e-9])) for i, es in want.items()}
+    got = {r.doc_id: [(t.start, t.end, t.action) for t in r.terms] for r in pii.detect(docs).collect()}
+    assert got == plainly
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(docs).collect()}
+    assert not any("quibble" in t for t in clean.values()) and all("street" in clean[200 + i] for i in range(9))
+
+
+def test_free_words():
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = " ".join(rng.choice(["a@b.c", "xa@b.cd", "1.2.3.4.5.6.7.8", "word", "+1 (017) 555-7713", "é", "4952935900253052", "x_y"]) + rng.choice(["", "!", "z"]) for _ in range(rng.randint(0, 7)))
+        spans = pii.base_spans(text)
+        assert list(pii.free_words(text, spans)) == [m.span() for m in re.finditer(r"\w+", text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+
+
 def test_query(spark):
     import hashlib
 
