@@ -4,7 +4,9 @@ Text is normalised (A-Z to lower case, every other ASCII character than letters
 into units: each line, each paragraph (a run of lines that aren't blank) and the whole text. A unit matches a template
 when twice the number of bigrams they share is at least `threshold` times the sum of their numbers of distinct bigrams.
 Size bounds prune templates first: a unit of a bigrams can only match templates of a*t/(2-t) to a*(2-t)/t. Units that
-share no bigram with any template, nearly all of them, are never built.
+share no bigram with any template, nearly all of them, are never built. A notice inside a longer unit is found by windows
+of words between bigrams of a template, with as many bigrams as the bounds allow; windows that overlap a unit or a better
+window of the same licence are left out, and the others count as units.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; equal units count once each time
 they occur; a paragraph of one line and a text of one paragraph are the same unit and count once; repeated rows give
@@ -75,6 +77,34 @@ def _bigrams(words: np.ndarray) -> np.ndarray:
     return shingle_names(words, 2) if len(words) > 1 else words[:0]
 
 
+def windows(grams: np.ndarray, hits: np.ndarray, variants: list[np.ndarray], threshold: float) -> list[tuple[float, int, int]]:
+    """(Dice coefficient, first word, word after the last) of the runs of words that match a template, best first. For
+    each bigram of a template, the best run that starts there and ends with another one, of a length within the bounds."""
+    out, distinct = [], len(np.unique(grams[hits]))
+    for x in variants:
+        if distinct < len(x) * threshold / (2 - threshold) - 1e-9:
+            continue
+        own = hits[np.isin(grams[hits], x)]
+        least, most = len(x) * threshold / (2 - threshold) - 1e-9, len(x) * (2 - threshold) / threshold + 1e-9
+        if len(np.unique(grams[own])) < least:
+            continue
+        to = np.searchsorted(own, own + (most - 1), side="right")
+        for i in np.flatnonzero(to - np.arange(len(own)) >= least).tolist():
+            start, at, best, end = int(own[i]), int(own[i]), 0.0, 0
+            seen: set[int] = set()
+            shared: set[int] = set()
+            for stop in own[i : to[i]].tolist():
+                seen.update(grams[at : stop + 1].tolist())
+                shared.add(int(grams[stop]))
+                at = stop + 1
+                dice = 2 * len(shared) / (len(seen) + len(x))
+                if at - start >= least and dice > best:
+                    best, end = dice, at + 1
+            if best >= threshold:
+                out.append((best, start, end))
+    return sorted(out, key=lambda w: (-w[0], w[1], w[2]))
+
+
 def match(raw: bytes, templates: dict[str, list[np.ndarray]], vocabulary: np.ndarray, threshold: float) -> list[tuple[str, int, float]]:
     """(licence, units, best Dice coefficient) for each licence found in a text."""
     words, line = _words(raw)
@@ -91,6 +121,7 @@ def match(raw: bytes, templates: dict[str, list[np.ndarray]], vocabulary: np.nda
         k = np.unique(key[hits])
         units.update(zip(np.searchsorted(key, k).tolist(), np.searchsorted(key, k, side="right").tolist(), strict=True))
     found: dict[str, tuple[int, float]] = {}
+    taken: dict[str, list[tuple[int, int]]] = {}
     for a, b in units:
         if b - a < 2:
             continue
@@ -105,6 +136,15 @@ def match(raw: bytes, templates: dict[str, list[np.ndarray]], vocabulary: np.nda
             if best >= threshold:
                 n, top = found.get(name, (0, 0.0))
                 found[name] = (n + 1, max(top, best))
+                taken.setdefault(name, []).append((a, b))
+    # Notices that share their unit with other words; one that overlaps a unit of its licence is that unit again.
+    for name, variants in templates.items():
+        there = taken.setdefault(name, [])
+        for dice, a, b in windows(grams, hits, variants, threshold):
+            if not any(x < b and a < y for x, y in there):
+                there.append((a, b))
+                n, top = found.get(name, (0, 0.0))
+                found[name] = (n + 1, max(top, dice))
     return sorted((k, n, d) for k, (n, d) in found.items())
 
 

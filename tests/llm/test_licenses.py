@@ -56,3 +56,22 @@ def test_equals_sets(spark):
     want = sorted([(i, *m) for i, t in enumerate(TEXTS) for m in brute(t)] + [(0, *m) for m in brute(TEXTS[0])])
     assert got == want and len({n for _, n, *_ in got}) >= 3
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_notices_inside_units(spark):
+    mit = licenses.TEMPLATES["mit"]
+    gpl = licenses.TEMPLATES["gpl-3.0"]
+    wrapped = lambda t, n: [" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n)]
+    middle = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    block = lambda parts: "/*\n" + "\n *\n".join("\n".join(" * " + x for x in wrapped(t, 9)) for t in parts) + "\n */\nint main() {"
+    texts = [
+        "Copyright (c) 2020 Example Corp. Licensed under the MIT License.",
+        block([gpl[1], middle, gpl[2]]),
+        block(["Copyright (c) 2020 Example Corp", mit[2], mit[3], "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, express or implied, " + middle]),
+        "words licensed under the terms of the public library license",
+        "a" + " licensed under the mit license and words" * 3,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.n_units, r.dice) for r in licenses.scan(docs).collect())
+    assert got == [(0, "mit", 1, 1.0), (1, "gpl-3.0", 2, 1.0), (2, "mit", 2, 1.0), (4, "mit", 3, 1.0)]
+    assert not any(brute(t) for t in texts)
