@@ -7,10 +7,10 @@ result rather than a candidate, two independent ones are used or the bytes are c
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +19,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Rows of a batch for Python while a table is written.
+BATCH_ROWS = 1_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_alone: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster shares (`spark.checkpoint.dir`).
 
-    Where the setting is missing, a temporary folder stands in on a single machine; a cluster without it is an error.
+    Where the setting is missing, one temporary folder stands in on a single machine; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lexframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _alone.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lexframe-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for what runs inside; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """The DataFrame written to the shared folder and read back: it survives lost executors and ends the lineage."""
+    """The DataFrame written to the shared folder and read back: it survives lost executors and ends the lineage.
+
+    While it is written, batches for Python have few rows (texts are long, and a batch exists several times over on both
+    sides), and Spark deletes the shuffle files of the plan when it has ended, since nothing needs them any more.
+    """
     spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    # Spark deletes the shuffle files of a plan once the driver's JVM has collected it; nothing needs them any more.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows if 0 < rows < BATCH_ROWS else BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `keep` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def width(spark: SparkSession, df: DataFrame, per_mb: float = 8.0) -> int:
@@ -53,15 +83,8 @@ def width(spark: SparkSession, df: DataFrame, per_mb: float = 8.0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, round(size / per_mb)), 2)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Batches of few rows for Python: texts are long, and a batch exists several times over on both sides."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 1001):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) alone, so that other columns can't clash; ids are longs."""
-    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

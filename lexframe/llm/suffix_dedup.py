@@ -1,22 +1,29 @@
 """Exact removal of repeated byte strings by distributed prefix doubling over a sparse suffix array.
 
-A suffix is ranked by names of growing prefixes. Comparing all suffixes of all texts would sort one row a byte, so the
-first ranks are taken only at *anchors*: in every window of `threshold` bytes, the position whose 16-byte prefix has the
-smallest mixed name. The anchor depends on the bytes of its window alone, so equal windows have equal anchors and
-nothing is lost. Then:
-
-1. Sorted (rank of 16 bytes, rank of the extension) pairs, one for each anchor and pack of documents. The extension
-   covers all windows that share the anchor (up to twice the threshold). A 16-byte rank that is unique drops out; equal
-   pairs repeat in whole, and all but those of the smallest document are marked.
-2. The suffixes still open, whose 16 bytes repeat but whose extensions differ, are expanded to all their windows and
-   ranked by pairs of 16-byte and full-length prefixes; equal ones are marked likewise.
-
-Names are dealt to ranges by Spark and sorted there. Each pack sends one row for equal names, with its smallest
-document, so a string that a third of all documents hold arrives once a pack. Verdicts go back as bits in the order of
-the rows that asked. Names have 96 bits in round 1 and 80 bits in round 2.
+Suffixes are ranked by prefixes of growing length: Spark sorts (rank, rank) pairs at offsets 16, 32, ... and last at the
+threshold; equal pairs get equal ranks, and a suffix drops out of the rounds once its rank is unique or past the
+threshold. A rank is the name of a prefix, computed from its bytes alone, so the rank of the prefix twice as long needs
+no look-up of another suffix's rank.
+
+Comparing all suffixes of all texts would sort one row a byte, so the first ranks are taken only at *anchors*: in every
+window of `threshold` bytes, the position whose 16-byte prefix has the smallest mixed name. The anchor depends on the
+bytes of its window alone, so equal windows have equal anchors and nothing is lost. Windows that follow each other and
+share an anchor are a *piece*, which is ranked as one:
+
+* the first rank of a pair is that of the bytes of the round's length around the anchor, which all windows of the piece
+  hold; where no other document has it, the piece drops out;
+* the second is that of all bytes the piece covers; where a smaller document has an equal pair, all windows of the piece
+  are marked as repeats and drop out;
+* what is left is cut into the pieces of the next length, and into single windows in the last round.
+
+Each pack of documents sends one row for equal pairs, with its smallest document, so a string that a third of all
+documents hold arrives once a pack. Rows travel in blocks, are sorted by Spark within hash ranges of their first rank
+(so the sort spills where it must) and are judged as a stream. Verdicts go back as bytes in the order of the rows that
+asked. A pair has 128 bits; bytes are not compared beyond that.
 
 Defined cases: a null text is empty; texts shorter than the threshold lose nothing; only documents with a smaller id
-count, so neither repeats within a document nor rows with equal ids do; rows with null ids are left out; other columns are ignored.
+count, so neither repeats within a document nor rows with equal ids do; rows with null ids lose nothing and cause no
+removal; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,25 +37,46 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import U64, Rolling, keep, mix, planes, raw_texts, texts, unplanes, width
+from lexframe.llm.kit import U64, Rolling, keep, mix, planes, raw_texts, texts, unplanes
 
 SEED_BYTES = 16
-#: Bytes of text in a pack; windows of a longer text are ranked in pieces.
+#: Bytes of text in a pack, and of text that is named at a time.
 PACK_BYTES, PIECE = 4 << 20, 1 << 20
 FIRST, SECOND = Rolling(30_011), Rolling(30_013)
-_LOW48, _LOW32, _LOW16 = U64((1 << 48) - 1), U64((1 << 32) - 1), U64((1 << 16) - 1)
+_LOW32 = U64((1 << 32) - 1)
 _MARK, _OPEN = 1, 2
+_PACK = ("ids", "known", "sizes", "data", "runs", "anchors")
+#: Bytes of text whose pairs a range holds, and ranges at most; Spark's sort spills within a range.
+RANGE_BYTES, MOST_RANGES = 12 << 20, 100_000
+
+
+def lengths(threshold: int) -> list[int]:
+    """The prefix lengths of the rounds. A doubled length is used while every window has a place for it around its
+    anchor: the places lie 16 bytes apart."""
+    out, k = [SEED_BYTES], 2 * SEED_BYTES
+    while threshold - k >= SEED_BYTES - 1:
+        out.append(k)
+        k *= 2
+    return [*out, threshold]
+
 
+def _bits(mask: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(mask).tobytes(), 1)
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (ids, sizes, data): the documents of a task in packs of about PACK_BYTES, compressed."""
+
+def _pack(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (ids, known, sizes, data, runs, anchors, total): the documents of a task in packs of about PACK_BYTES,
+    compressed, and bits for the first windows of pieces and for anchors, in the same order."""
     squeeze = zstandard.ZstdCompressor(level=1)
     ids, parts, total = [], [], 0
 
     def close() -> pa.RecordBatch:
-        row = [np.array(ids, "<i8").tobytes(), np.array([len(x) for x in parts], "<i8").tobytes(), squeeze.compress(b"".join(parts))]
+        sizes, raw = np.array([len(x) for x in parts], "<i8"), b"".join(parts)
+        runs, anchors = _anchored(np.frombuffer(raw, np.uint8), sizes, threshold)
+        known = np.array([x is not None for x in ids], np.uint8).tobytes()
+        row = [np.array([x or 0 for x in ids], "<i8").tobytes(), known, sizes.tobytes(), squeeze.compress(raw), _bits(runs), _bits(anchors)]
         ids.clear(), parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["ids", "sizes", "data"])
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in row), pa.array([len(raw)], pa.int64())], [*_PACK, "total"])
 
     for batch in batches:
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
@@ -61,240 +89,313 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-class Pack:
-    """The documents of a pack and the ranks of their anchors."""
-
-    def __init__(self, ids: bytes, sizes: bytes, data: bytes, threshold: int):
-        self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
-        raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, int(self.sizes.sum())))
-        self.bytes, self.start = np.frombuffer(raw, np.uint8), np.cumsum(self.sizes) - self.sizes
-        self.threshold = threshold
-        self._rank()
-
-    def _rank(self) -> None:
-        found = []
-        for doc, (at, size) in enumerate(zip(self.start.tolist(), self.sizes.tolist(), strict=True)):
-            windows = size - self.threshold + 1
-            for piece in range(0, max(windows, 0), PIECE):
-                seed, run, low, high = self._anchors(self.bytes[at + piece : at + min(windows, piece + PIECE) + self.threshold - 1])
-                found.append((seed, run, low + (at + piece), high + (at + piece), np.full(len(low), doc)))
-        none = (np.zeros(0, U64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
-        self.seed, self.run, self.low, self.high, self.doc = (np.concatenate(x) for x in zip(none, *found, strict=True))
-        # One row for equal ranks: groups in rank order, led by the smallest document id.
-        owner = self.ids[self.doc]
-        order = np.lexsort((self.low, owner, self.run, self.seed))
-        seed, run = self.seed[order], self.run[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (seed[1:] != seed[:-1]) | (run[1:] != run[:-1])
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(first) - 1
-        self.lead = order[first]
-        self.lead_id = owner[self.lead]
-        self.member_id = owner
-
-    def _anchors(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Seed and extension names of each anchor, and the first and last start of the windows that have it."""
-        t, n = self.threshold, len(data)
-        one, two = FIRST.prefix(data), SECOND.prefix(data)
-        name = mix((one[SEED_BYTES:] - one[:-SEED_BYTES]) * FIRST.down[: n - SEED_BYTES + 1])
+def _last_windows(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """For documents one after another, the places of their first bytes and after their last windows."""
+    start = np.cumsum(sizes) - sizes
+    return start, start + np.maximum(sizes - threshold + 1, 0)
+
+
+def _anchored(data: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the first windows of pieces and of the anchors of these pieces."""
+    runs, anchors = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    start, stop = _last_windows(sizes, threshold)
+    edge = np.zeros(len(data) + 1, np.int8)
+    some = stop > start
+    edge[start[some]] += 1
+    edge[stop[some]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    first = np.zeros(len(data), bool)
+    first[start[some]] = True
+    before = -1  # the anchor of the window before
+    for at in range(0, len(data) - threshold + 1, PIECE):
+        upto = min(len(data) - threshold + 1, at + PIECE)
+        part = data[at : upto + threshold - 1]
+        one = FIRST.prefix(part)
+        name = mix((one[SEED_BYTES:] - one[:-SEED_BYTES]) * FIRST.down[: len(part) - SEED_BYTES + 1])
         least = (name & ~_LOW32) | np.arange(len(name), dtype=U64)
-        have, need = 1, t - SEED_BYTES + 1
+        have, need = 1, threshold - SEED_BYTES + 1
         while have < need:
             step = min(have, need - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        anchor = (least & _LOW32).astype(np.int64)
-        turn = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-        low = np.concatenate([[0], turn])
-        high = np.concatenate([turn - 1, [len(anchor) - 1]])
-        at = anchor[low]
-        whole = SECOND.names(two, low, high + t)
-        run = mix(whole + (at - low).astype(U64) * U64(0x9E3779B97F4A7C15) + (high - low).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        return name[at] & _LOW48, run & _LOW48, low, high
-
-    def first_rows(self, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each range that has any, the groups in it, in rank order."""
-        return _by_range(self.seed[self.lead], ranges)
-
-    def after_first(self, verdicts: dict[int, bytes], ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which anchors are marked in whole, and which groups are open."""
-        verdict = _returned(len(self.lead), self.first_rows(ranges), verdicts)
-        marked = (verdict[self.group] == _MARK) | (self.member_id > self.lead_id[self.group])
-        return marked, np.flatnonzero(verdict == _OPEN)
-
-    def windows(self, groups: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Names (64 and 16 bits), starts and groups of all windows of the leads of some groups."""
-        lead = self.lead[groups]
-        count = self.high[lead] - self.low[lead] + 1
-        group = np.repeat(groups, count)
-        start = np.repeat(self.low[lead] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        name, more = np.empty(len(start), U64), np.empty(len(start), U64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(self.doc[lead])) + 1, [len(lead)]]) if len(lead) else []
-        upto = np.concatenate([[0], np.cumsum(count)])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):  # leads of one document follow each other only in part; each run of them is named alone
-            i, j = int(upto[a]), int(upto[b])
-            base, end = int(start[i:j].min()), int(start[i:j].max()) + self.threshold
-            for k in range(i, j, PIECE) if end - base > 2 * PIECE else [i]:
-                m = j if end - base <= 2 * PIECE else min(j, k + PIECE)
-                lo, hi = int(start[k:m].min()), int(start[k:m].max()) + self.threshold
-                data = self.bytes[lo:hi]
-                s = start[k:m] - lo
-                name[k:m] = FIRST.names(FIRST.prefix(data), s, s + self.threshold)
-                more[k:m] = SECOND.names(SECOND.prefix(data), s, s + self.threshold) & _LOW16
-        return name, more, start, group
-
-    def second_rows(self, groups: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct windows of the open groups in name order, led by the smallest id; and for each window its row,
-        start and group."""
-        groups = groups[np.argsort(self.low[self.lead[groups]], kind="stable")]
-        name, more, start, group = self.windows(groups)
-        owner = self.lead_id[group]
-        order = np.lexsort((owner, more, name))
-        a, b = name[order], more[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        row = np.empty(len(order), np.int64)
-        row[order] = np.cumsum(first) - 1
-        lead = order[first]
-        return name[lead], more[lead], owner[lead], row, start, group
-
-    def covered(self, verdicts: dict[int, bytes], more: dict[int, bytes], ranges: int) -> np.ndarray:
-        """Whether each byte is removed."""
-        t, edge = self.threshold, np.zeros(len(self.bytes) + 1, np.int32)
-        marked, groups = self.after_first(verdicts, ranges)
-        np.add.at(edge, self.low[marked], 1)
-        np.add.at(edge, self.high[marked] + t, -1)
-        if len(groups):
-            name, _, lead_id, row, start, group = self.second_rows(groups)
-            verdict = _returned(len(name), _by_range(name, ranges), more)
-            again = (verdict[row] == _MARK) | (self.lead_id[group] > lead_id[row])
-            # A window that a lead lost, every member of its group in the same document lost too.
-            lost_group, lost_shift = group[again], start[again] - self.low[self.lead[group[again]]]
-            order = np.argsort(lost_group, kind="stable")
-            lost_group, lost_shift = lost_group[order], lost_shift[order]
-            member = np.flatnonzero(~marked & np.isin(self.group, groups))
-            a, b = np.searchsorted(lost_group, self.group[member]), np.searchsorted(lost_group, self.group[member], side="right")
-            count = b - a
-            at = np.repeat(self.low[member], count) + lost_shift[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + t, -1)
+        anchor = (least & _LOW32).astype(np.int64) + at
+        turn = np.append(anchor[0] != before, anchor[1:] != anchor[:-1])
+        turn = (turn | first[at:upto]) & inside[at:upto]
+        runs[at:upto] = turn
+        anchors[anchor[turn]] = True
+        before = int(anchor[-1])
+    return runs, anchors
+
+
+class Pack:
+    """The documents of a pack, and in each round its open windows."""
+
+    def __init__(self, ids: bytes, known: bytes, sizes: bytes, data: bytes, runs: bytes, anchors: bytes, threshold: int):
+        self.ids, self.sizes, self.threshold = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), threshold
+        raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, int(self.sizes.sum())))
+        self.bytes = np.frombuffer(raw, np.uint8)
+        n = len(self.bytes)
+        self.start, stop = _last_windows(self.sizes, threshold)
+        self.low = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(runs), np.uint8), count=n))
+        self.doc = np.searchsorted(self.start, self.low, side="right") - 1
+        self.anchor = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(anchors), np.uint8), count=n))  # they never go back, so both are in order
+        self.high = np.minimum(np.append(self.low[1:], n), stop[self.doc]) - 1
+        named = np.frombuffer(known, np.uint8)[self.doc].astype(bool)
+        self.low, self.high, self.anchor, self.doc = self.low[named], self.high[named], self.anchor[named], self.doc[named]
+        self.gone = np.zeros(n, bool)
+
+    def _named(self, rolling: Rolling, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of the byte strings from start to end."""
+        if len(start) and (start[1:] < start[:-1]).any():
+            order = np.argsort(start, kind="stable")
+            out = np.empty(len(start), U64)
+            out[order] = self._named(rolling, start[order], end[order])
+            return out
+        out, at = np.empty(len(start), U64), 0
+        while at < len(start):
+            base = int(start[at])
+            to = max(at + 1, int(np.searchsorted(start, base + PIECE)))
+            prefix = rolling.prefix(self.bytes[base : int(end[at:to].max())])
+            out[at:to] = rolling.names(prefix, start[at:to] - base, end[at:to] - base)
+            at = to
+        return out
+
+    def pieces(self, length: int, windows: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """First and last windows of the pieces of a round, the place of the bytes that are ranked, and their documents;
+        `windows` are those still open, in order."""
+        if windows is None:
+            return self.low, self.high, self.anchor, self.doc
+        of = np.searchsorted(self.low, windows, side="right") - 1
+        if length == self.threshold or not len(windows):
+            return windows, windows, windows, self.doc[of]
+        shift = np.maximum(-(-(self.anchor[of] - windows - (self.threshold - length)) // SEED_BYTES), 0)
+        new = np.ones(len(windows), bool)
+        new[1:] = (windows[1:] != windows[:-1] + 1) | (of[1:] != of[:-1]) | (shift[1:] != shift[:-1])
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(windows)) - 1
+        return windows[at], windows[end], self.anchor[of[at]] - SEED_BYTES * shift[at], self.doc[of[at]]
+
+    def asked(self, length: int, windows: np.ndarray | None) -> "Asked":
+        """The pairs of a round."""
+        low, high, place, doc = self.pieces(length, windows)
+        if length == self.threshold:
+            rank, other = self._named(FIRST, low, low + length), self._named(SECOND, low, low + length)
+        else:
+            rank = self._named(FIRST, place, place + length)
+            other = mix(self._named(SECOND, low, high + self.threshold) + (place - low).astype(U64) * U64(0x9E3779B97F4A7C15) + (high - low).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        return Asked(low, high, rank, other, self.ids[doc])
+
+    def after(self, asked: "Asked", verdicts: dict[int, list[tuple[int, bytes]]], ranges: int) -> np.ndarray:
+        """Marks windows by the verdicts of a round; the windows that are still open."""
+        verdict = asked.returned(verdicts, ranges)
+        marked, opened = verdict == _MARK, verdict == _OPEN
+        self.gone[_spread(asked.low[marked], asked.high[marked])] = True
+        return np.sort(_spread(asked.low[opened], asked.high[opened]))
+
+    def removed(self) -> np.ndarray:
+        """Whether each byte lies in a marked window."""
+        edge = np.zeros(len(self.bytes) + 1, np.int32)
+        edge[:-1] += self.gone
+        at = np.flatnonzero(self.gone)
+        np.subtract.at(edge, at + self.threshold, 1)
         return np.cumsum(edge[:-1]) > 0
 
 
-def _by_range(name: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(range, rows of it in their order) for each range with rows; ranges divide the low 32 bits evenly."""
-    to = (((name & _LOW32) * U64(ranges)) >> U64(32)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cut = np.flatnonzero(np.diff(to[order])) + 1
-    for rows in np.split(order, cut) if len(order) else []:
-        yield int(to[rows[0]]), rows
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from low to high, run after run."""
+    count = high - low + 1
+    return np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _returned(n: int, asked: Iterator[tuple[int, np.ndarray]], verdicts: dict[int, bytes]) -> np.ndarray:
-    """The verdicts put back to the rows that asked."""
-    out = np.zeros(n, np.uint8)
-    for k, rows in asked:
-        if k in verdicts:
-            out[rows] = np.frombuffer(zlib.decompress(verdicts[k]), np.uint8)
-    return out
+class Asked:
+    """The pairs of a pack in one round: one row for equal pairs, led by the smallest document."""
 
+    def __init__(self, low: np.ndarray, high: np.ndarray, rank: np.ndarray, other: np.ndarray, doc: np.ndarray):
+        self.low, self.high, self.doc = low, high, doc
+        order = np.lexsort((doc, other, rank))
+        a, b = rank[order], other[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.row = np.empty(len(order), np.int64)
+        self.row[order] = np.cumsum(first) - 1
+        self.rank, self.other, self.lead = a[first], b[first], doc[order[first]]
+
+    def by_range(self, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, rows of it in their order) for each range with rows; ranges divide the low 32 bits of the rank evenly."""
+        to = (((self.rank & _LOW32) * U64(ranges)) >> U64(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.diff(to[order])) + 1
+        for rows in np.split(order, cut) if len(order) else []:
+            yield int(to[rows[0]]), rows
+
+    def returned(self, verdicts: dict[int, list[tuple[int, bytes]]], ranges: int) -> np.ndarray:
+        """The verdict on each piece. A piece of a larger document than its row's is a repeat within the pack."""
+        out = np.zeros(len(self.rank), np.uint8)
+        for k, rows in self.by_range(ranges):
+            for at, bits in verdicts.get(k, ()):
+                own = np.frombuffer(zlib.decompress(bits), np.uint8)
+                out[rows[at : at + len(own)]] = own
+        return np.where(self.doc > self.lead[self.row], _MARK, out[self.row])
+
+
+class Judge:
+    """Verdicts on a stream of rows in order of (rank, other, doc): marked where a smaller document has the pair; open
+    where the rank stands in several documents. Rows are held back only while all of their rank are of one document."""
+
+    def __init__(self) -> None:
+        self.held = [np.zeros(0, np.int64) for _ in range(5)]
+        self.rank = self.other = self.least = 0
+        self.varied = False  # whether the last rank that was judged goes on and stands in several documents
+
+    def judge(self, columns: list[np.ndarray], last: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+        """The rows that can be judged and their verdicts."""
+        rows = [np.concatenate(x) for x in zip(self.held, columns, strict=True)]
+        rank, other, doc = rows[:3]
+        n = len(rank)
+        if not n:
+            return rows, np.zeros(0, np.uint8)
+        new_rank = np.ones(n, bool)
+        new_rank[1:] = rank[1:] != rank[:-1]
+        new = new_rank.copy()
+        new[1:] |= other[1:] != other[:-1]
+        least = doc[new][np.cumsum(new) - 1]
+        at = np.flatnonzero(new_rank)
+        varied = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+        if self.varied and rank[0] == self.rank:
+            varied[0] = True
+            if other[0] == self.other:
+                head = (rank == rank[0]) & (other == other[0])
+                least[head] = np.minimum(least[head], self.least)
+        done = n if last or varied[-1] else int(at[-1])
+        verdict = np.where(doc > least, _MARK, np.where(varied[np.cumsum(new_rank) - 1], _OPEN, 0)).astype(np.uint8)
+        self.held = [x[done:] for x in rows]
+        self.varied = done == n and bool(varied[-1])
+        if done:
+            self.rank, self.other, self.least = rank[done - 1], other[done - 1], least[done - 1]
+        return [x[:done] for x in rows], verdict[:done]
+
+
+_ROW = "rank long, other long, doc long, pack long, at int, range int"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (range, pack, n, data)."""
+    for batch in batches:
+        for k, pack, n, raw in zip(*(batch.column(c).to_pylist() for c in ("range", "pack", "n", "data")), strict=True):
+            for at in range(0, n, 1 << 18):
+                m = min(n, at + (1 << 18)) - at
+                columns = [unplanes(raw[8 * n * j :][: 8 * n], 8)[at : at + m].view(np.int64) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(m, pack)), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(np.full(m, k, np.int32))], [x.split()[0] for x in _ROW.split(", ")])
 
-def _judge(keys: tuple[np.ndarray, ...], doc: np.ndarray, opens: bool) -> np.ndarray:
-    """Verdicts on rows with (rank, rank) pairs: marked where a smaller document has the pair; open where the first rank
-    repeats in other pairs and several documents."""
-    order = np.lexsort((doc, keys[1], keys[0]))
-    a, b, d = keys[0][order], keys[1][order], doc[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    pair = np.cumsum(first) - 1
-    least = d[first]
-    verdict = np.where(d > least[pair], _MARK, 0).astype(np.uint8)
-    if opens and len(order):
-        head = np.ones(len(least), bool)
-        head[1:] = a[first][1:] != a[first][:-1]
-        at = np.flatnonzero(head)
-        varied = np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at)
-        verdict[(verdict == 0) & varied[np.cumsum(head) - 1][pair]] = _OPEN
-    out = np.empty(len(order), np.uint8)
-    out[order] = verdict
-    return out
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    judge = Judge()
 
-def _round(rows: DataFrame, sizes: tuple[int, int], opens: bool) -> DataFrame:
-    """(pack, verdicts array<struct<range, bits>>) from rows (range, pack, n, data)."""
+    def out(columns: list[np.ndarray], last: bool = False) -> pa.RecordBatch:
+        rows, verdict = judge.judge(columns, last)
+        some = np.flatnonzero(verdict)
+        return pa.RecordBatch.from_arrays([pa.array(rows[3][some]), pa.array(rows[4][some].astype(np.int32)), pa.array(verdict[some].astype(np.int8)), pa.array(np.full(len(some), k, np.int32))], ["pack", "at", "verdict", "range"])
+
+    k = 0
+    for batch in batches:
+        if batch.num_rows:
+            k = batch.column("range")[0].as_py()
+            yield out([batch.column(c).to_numpy() for c in ("rank", "other", "doc", "pack", "at")])
+    yield out([np.zeros(0, np.int64)] * 5, True)
 
-    def judge(table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[], [], []]
-        counts = table.column("n").to_pylist()
-        for n, x in zip(counts, table.column("data"), strict=True):
-            raw, at = x.as_py(), 0
-            for out, size in zip(parts, (*sizes, 8), strict=True):
-                out.append(unplanes(raw[at : at + n * size], size))
-                at += n * size
-        a, b, doc = (np.concatenate(x) for x in parts)
-        verdict = _judge((a, b), doc.astype(np.int64), opens)
-        cut = np.cumsum(counts)[:-1]
-        bits = [zlib.compress(x.tobytes(), 1) if x.any() else None for x in np.split(verdict, cut)]
-        return pa.table({"range": table.column("range"), "pack": table.column("pack"), "bits": pa.array(bits, pa.binary())})
 
-    judged = rows.groupBy("range").applyInArrow(judge, "range int, pack long, bits binary").where("bits is not null")
-    return judged.groupBy("pack").agg(F.collect_list(F.struct("range", "bits")).alias("verdicts"))  # at most one entry a range
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, range, at, bits) from verdicts in order of (pack, at): the verdicts of a pack from row `at` on."""
+    for batch in batches:
+        pack, at, verdict, range_ = (batch.column(c).to_numpy() for c in ("pack", "at", "verdict", "range"))
+        cut = np.flatnonzero(np.append(True, pack[1:] != pack[:-1])) if len(pack) else np.zeros(0, int)
+        rows = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pack)], strict=False):
+            own = np.zeros(int(at[b - 1] - at[a]) + 1, np.uint8)
+            own[at[a:b] - at[a]] = verdict[a:b]
+            rows.append((int(pack[a]), int(range_[a]), int(at[a]), zlib.compress(own.tobytes(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["pack", "range", "at", "bits"])
+
+
+def _round(rows: DataFrame, ranges: int) -> DataFrame:
+    """(pack, verdicts array<struct<range, at, bits>>) from rows (range, pack, n, data): one range a partition, in which
+    Spark sorts the pairs, and the verdicts by their packs."""
+    pairs = rows.repartitionById(ranges, F.col("range")).mapInArrow(_unpacked, _ROW).sortWithinPartitions("rank", "other", "doc")
+    judged = pairs.mapInArrow(_judged, "pack long, at int, verdict byte, range int").sortWithinPartitions("pack", "at")
+    gathered = judged.mapInArrow(_gathered, "pack long, range int, at int, bits binary")
+    return gathered.groupBy("pack").agg(F.collect_list(F.struct("range", "at", "bits")).alias("verdicts"))  # a few entries a range
+
+
+def _verdicts(column: pa.Array) -> list[dict[int, list[tuple[int, bytes]]]]:
+    out = []
+    for x in column.to_pylist():
+        own: dict[int, list[tuple[int, bytes]]] = {}
+        for v in x or ():
+            own.setdefault(v["range"], []).append((v["at"], v["bits"]))
+        out.append(own)
+    return out
 
 
-def _verdicts(column: pa.Array) -> list[dict[int, bytes]]:
-    return [{x["range"]: x["bits"] for x in v} if v else {} for v in column.to_pylist()]
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _packs(batch: pa.RecordBatch, threshold: int, rounds: list[int], ranges: int) -> Iterator[tuple[int, Pack, np.ndarray | None]]:
+    """Each pack of a batch after the verdicts of some rounds, with its open windows."""
+    verdicts = [_verdicts(batch.column(f"v{k}")) for k in range(len(rounds))]
+    for i in range(batch.num_rows):
+        pack, windows = Pack(*(batch.column(c)[i].as_py() for c in _PACK), threshold), None
+        for k, length in enumerate(rounds):
+            windows = pack.after(pack.asked(length, windows), verdicts[k][i], ranges)
+        yield batch.column("pack")[i].as_py(), pack, windows
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept) of each document; spans is an array of (start, end) byte
     offsets, kept the remaining bytes.
 
-    Shuffled are 20 bytes for each anchor (about one in 18 bytes of text), 18 for each window that is open, and the
-    compressed packs twice. Verdicts are written to the shared folder between rounds.
+    Shuffled are 24 bytes, before compression, for each distinct pair of a pack in each round (in the first, about one
+    for 18 bytes of text), and the compressed packs with the verdicts so far. Verdicts are written to the shared folder
+    after each round.
     """
     if threshold < SEED_BYTES:
         raise ValueError(f"the threshold must be at least {SEED_BYTES} bytes")
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
-    ranges = width(spark, rows)
-    packs = keep(rows.mapInArrow(_pack, "ids binary, sizes binary, data binary").withColumn("pack", F.monotonically_increasing_id()), "suffix-packs")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, *parts in zip(*(batch.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")), strict=True):
-                x = Pack(*parts, threshold)
-                seed, run = x.seed[x.lead], x.run[x.lead]
-                yield _sent(pack, [(k, r, planes(seed[r], 6) + planes(run[r], 6) + planes(x.lead_id[r].astype(U64), 8)) for k, r in x.first_rows(ranges)])
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for verdicts, pack, *parts in zip(_verdicts(batch.column("verdicts")), *(batch.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")), strict=True):
-                x = Pack(*parts, threshold)
-                _, groups = x.after_first(verdicts, ranges)
-                name, more, lead_id, *_ = x.second_rows(groups)
-                yield _sent(pack, [(k, r, planes(name[r], 8) + planes(more[r], 2) + planes(lead_id[r].astype(U64), 8)) for k, r in _by_range(name, ranges)])
+    packs = texts(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, threshold), ", ".join(f"{c} binary" for c in _PACK) + ", total long")
+    packs = keep(packs.withColumn("pack", F.monotonically_increasing_id()), "suffix-packs")
+    total = packs.agg(F.sum("total")).first()[0] or 0
+    packs = packs.drop("total")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_BYTES))
+    rounds, tables = lengths(threshold), []
+
+    def known(upto: int) -> DataFrame:
+        out = packs
+        for k, table in enumerate(tables[:upto]):
+            out = out.join(table.withColumnRenamed("verdicts", f"v{k}"), "pack", "left")
+        return out
+
+    def asker(k: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, pack, windows in _packs(batch, threshold, rounds[:k], ranges):
+                    asked = pack.asked(rounds[k], windows)
+                    own = [(r, len(x), b"".join(planes(c[x].view(U64), 8) for c in (asked.rank, asked.other, asked.lead))) for r, x in asked.by_range(ranges)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in own], pa.int32()), pa.array([number] * len(own), pa.int64()), pa.array([n for _, n, _ in own], pa.int64()), pa.array([x for _, _, x in own], pa.binary())], ["range", "pack", "n", "data"])
+
+        return ask
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two, *parts in zip(_verdicts(batch.column("verdicts")), _verdicts(batch.column("more")), *(batch.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
-                x = Pack(*parts, threshold)
-                gone = x.covered(one, two, ranges)
+            for i, (_, pack, _) in enumerate(_packs(batch, threshold, rounds, ranges)):
+                gone = pack.removed()
                 spans, kept, removed = [], [], []
-                for at, n in zip(x.start.tolist(), x.sizes.tolist(), strict=True):
+                for at, n in zip(pack.start.tolist(), pack.sizes.tolist(), strict=True):
                     lost = gone[at : at + n]
                     turn = np.flatnonzero(np.diff(lost, prepend=False, append=False)) if n else np.zeros(0, int)
                     spans.append([{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()])
-                    kept.append(x.bytes[at : at + n][~lost].tobytes())
+                    kept.append(pack.bytes[at : at + n][~lost].tobytes())
                     removed.append(int(lost.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids), pa.array(x.sizes), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    sent = "range int, pack long, n long, data binary"
-    found = keep(_round(packs.mapInArrow(first, sent), (6, 6), True), "suffix-first")
-    asked = packs.join(found, "pack").mapInArrow(second, sent)
-    more = keep(_round(asked, (8, 2), False), "suffix-second")
-    both = packs.join(found, "pack", "left").join(more.withColumnRenamed("verdicts", "more"), "pack", "left")
-    return both.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary")
-
+                ids = pa.array(pack.ids, mask=np.frombuffer(batch.column("known")[i].as_py(), np.uint8) == 0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pack.sizes), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-def _sent(pack: int, rows: list[tuple[int, np.ndarray, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), pa.array([len(r) for _, r, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.binary())], ["range", "pack", "n", "data"])
+    for k in range(len(rounds)):
+        tables.append(keep(_round(known(k).mapInArrow(asker(k), "range int, pack long, n long, data binary"), ranges), f"suffix-round-{k}"))
+    return known(len(rounds)).mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexframe.llm import suffix_dedup
@@ -53,35 +55,77 @@ def found(spark, rows, t=50, parts=3):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, threshold=t).collect())
 
 
-@pytest.mark.parametrize("seed,t", [(1, 50), (2, 50), (3, 24)])
-def test_equals_brute_force(spark, seed, t, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 3000)
+@pytest.mark.parametrize("seed,t", [(1, 50), (2, 50), (3, 24), (5, 100)])
+def test_equals_brute_force(spark, seed, t):
     rows = made_up(seed)
     assert found(spark, rows, t) == brute([(i, (x or "").encode()) for i, x in rows], t)
 
 
-def test_pieces_of_long_texts(spark, monkeypatch):
+@pytest.mark.parametrize("t", [16, 24, 50, 130])
+def test_packs_and_pieces(monkeypatch, t):
+    """Small packs, pieces and batches, without Spark: the sorts are done here."""
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
-    rows = made_up(4, 60)
-    ranks = [suffix_dedup.Pack(b"".join(i.to_bytes(8, "little") for i, _ in rows), b"".join(len((x or "").encode()).to_bytes(8, "little") for _, x in rows), suffix_dedup.zstandard.compress(b"".join((x or "").encode() for _, x in rows)), 50)]
-    pack, ranges = ranks[0], 3
-    sent = {k: (pack.seed[pack.lead][r], pack.run[pack.lead][r], pack.lead_id[r]) for k, r in pack.first_rows(ranges)}
-    bits = {k: suffix_dedup.zlib.compress(suffix_dedup._judge((a, b), d, True).tobytes()) for k, (a, b, d) in sent.items()}
-    _, groups = pack.after_first(bits, ranges)
-    name, more, lead_id, *_ = pack.second_rows(groups)
-    second = {k: suffix_dedup.zlib.compress(suffix_dedup._judge((name[r], more[r]), lead_id[r], False).tobytes()) for k, r in suffix_dedup._by_range(name, ranges)}
-    gone = pack.covered(bits, second, ranges)
-    for (doc, n, removed, _, kept), at in zip(brute([(i, (x or "").encode()) for i, x in rows], 50), [int(pack.start[k]) for k in sorted(range(len(rows)), key=lambda k: rows[k][0])], strict=True):
-        assert int(gone[at : at + n].sum()) == removed, doc
-        assert pack.bytes[at : at + n][~gone[at : at + n]].tobytes() == kept
-
-
-def test_empty_and_null_ids(spark):
-    docs = spark.createDataFrame([(None, "a" * 80), (1, "a" * 80), (1, "a" * 80)], "doc_id long, text string")
-    assert [(r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()] == [(1, 0), (1, 0)]
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 3000)
+    rows, ranges = made_up(4, 90), 3
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([x for _, x in rows])})
+    packs = [suffix_dedup.Pack(*(c[0].as_py() for c in batch.columns[:6]), t) for batch in suffix_dedup._pack(iter(table.to_batches()), t)]
+    windows = [None] * len(packs)
+    assert len(packs) > 3
+    for length in suffix_dedup.lengths(t):
+        asked = [p.asked(length, w) for p, w in zip(packs, windows, strict=True)]
+        verdicts = [{} for _ in packs]
+        for k in range(ranges):
+            sent = []
+            for number, a in enumerate(asked):
+                for r, x in a.by_range(ranges):
+                    sent += [(*row, number, at) for at, row in enumerate(zip(a.rank[x].view("i8").tolist(), a.other[x].view("i8").tolist(), a.lead[x].tolist(), strict=True))] if r == k else []
+            judge, judged = suffix_dedup.Judge(), []
+            sent = np.array(sorted(sent), dtype=np.int64).reshape(-1, 5)
+            for step in [*np.array_split(sent, 7), None]:
+                out, verdict = judge.judge(list(step.T) if step is not None else [np.zeros(0, np.int64)] * 5, step is None)
+                judged += zip(out[3].tolist(), out[4].tolist(), verdict.tolist(), strict=True)
+            assert len(judged) == len(sent)
+            for number, at, v in judged:
+                if v:
+                    verdicts[number].setdefault(k, []).append((at, suffix_dedup.zlib.compress(bytes([v]))))
+        windows = [p.after(a, v, ranges) for p, a, v in zip(packs, asked, verdicts, strict=True)]
+    got = []
+    for p in packs:
+        gone = p.removed()
+        for i, at, n in zip(p.ids.tolist(), p.start.tolist(), p.sizes.tolist(), strict=True):
+            got.append((i, n, int(gone[at : at + n].sum()), p.bytes[at : at + n][~gone[at : at + n]].tobytes()))
+    assert sorted(got) == [(a, b, c, k) for a, b, c, _, k in brute([(i, (x or "").encode()) for i, x in rows], t)]
+
+
+def test_judge_holds_one_document_only():
+    judge = suffix_dedup.Judge()
+    rows = [(1, 1, 5), (1, 2, 5), (1, 2, 7), (1, 3, 9), (1, 3, 9), (2, 0, 1), (2, 1, 1), (3, 0, 2), (3, 0, 4)]
+    got = []
+    for r in rows:
+        out, verdict = judge.judge([np.array([x], np.int64) for x in (*r, 0, 0)])
+        got += zip(*(c.tolist() for c in out[:3]), verdict.tolist(), strict=True)
+        assert len({*judge.held[2].tolist()}) < 2
+    out, verdict = judge.judge([np.zeros(0, np.int64)] * 5, True)
+    got += zip(*(c.tolist() for c in out[:3]), verdict.tolist(), strict=True)
+    want = [2, 2, 1, 2, 2, 0, 0, 2, 1]
+    assert got == [(*r, v) for r, v in zip(rows, want, strict=True)]
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a" * 80), (1, "a" * 80), (1, "a" * 80), (2, "b" + "a" * 60), (3, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()), key=str)
+    assert got == [(1, 0, b"a" * 80), (1, 0, b"a" * 80), (2, 60, b"b"), (3, 0, b""), (None, 0, b"a" * 80)]
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_equal_ids_and_a_long_text(spark):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(300_000))
+    rows = [(1, "x" * 20 + long[:200]), (1, "y" * 20 + long[:200]), (2, long), (3, long[1000:2000])]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1, 220] == (0, 0) and got[3, 1000] == (1000, 1) and got[2, len(long)][0] >= 200 and len(got) == 3
+
+
 def test_query(spark):
     from lexframe.llm.queries import op10_suffix_dedup
 
