@@ -41,13 +41,15 @@ from lexframe.llm.kit import U64, Rolling, keep, mix, planes, raw_texts, texts,
 
 SEED_BYTES = 16
 #: Bytes of text in a pack, and of text that is named at a time.
-PACK_BYTES, PIECE = 4 << 20, 1 << 20
+PACK_BYTES, PIECE = 2 << 20, 1 << 17
 FIRST, SECOND = Rolling(30_011), Rolling(30_013)
 _LOW32 = U64((1 << 32) - 1)
 _MARK, _OPEN = 1, 2
 _PACK = ("ids", "known", "sizes", "data", "runs", "anchors")
 #: Bytes of text whose pairs a range holds, and ranges at most; Spark's sort spills within a range.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 100_000
+#: Verdicts that are put in the order of their packs at a time.
+GATHER = 1 << 20
 
 
 def lengths(threshold: int) -> list[int]:
@@ -212,7 +214,13 @@ class Asked:
 
     def __init__(self, low: np.ndarray, high: np.ndarray, rank: np.ndarray, other: np.ndarray, doc: np.ndarray):
         self.low, self.high, self.doc = low, high, doc
-        order = np.lexsort((doc, other, rank))
+        order = np.argsort(rank)
+        ranked = rank[order]
+        twin = np.zeros(len(order) + 1, bool)
+        twin[1:-1] = ranked[1:] == ranked[:-1]
+        twin = np.flatnonzero(twin[1:] | twin[:-1])  # only rows whose rank repeats need the other keys
+        some = order[twin]
+        order[twin] = some[np.lexsort((doc[some], other[some], rank[some]))]
         a, b = rank[order], other[order]
         first = np.ones(len(order), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -289,40 +297,46 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    judge = Judge()
+    """(pack, range, at, bits): the verdicts of a pack from row `at` on, gathered from up to GATHER rows at a time."""
+    judge, found, waiting, k = Judge(), [], 0, 0
+
+    def gathered() -> pa.RecordBatch:
+        pack, at, verdict = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        order = np.lexsort((at, pack))
+        pack, at, verdict = pack[order], at[order], verdict[order]
+        cut = np.flatnonzero(np.append(True, pack[1:] != pack[:-1]))
+        rows = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pack)], strict=True):
+            own = np.zeros(int(at[b - 1] - at[a]) + 1, np.uint8)
+            own[at[a:b] - at[a]] = verdict[a:b]
+            rows.append((int(pack[a]), k, int(at[a]), zlib.compress(own.tobytes(), 1)))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["pack", "range", "at", "bits"])
 
-    def out(columns: list[np.ndarray], last: bool = False) -> pa.RecordBatch:
+    def add(columns: list[np.ndarray], last: bool = False) -> int:
         rows, verdict = judge.judge(columns, last)
         some = np.flatnonzero(verdict)
-        return pa.RecordBatch.from_arrays([pa.array(rows[3][some]), pa.array(rows[4][some].astype(np.int32)), pa.array(verdict[some].astype(np.int8)), pa.array(np.full(len(some), k, np.int32))], ["pack", "at", "verdict", "range"])
+        if len(some):
+            found.append((rows[3][some], rows[4][some], verdict[some]))
+        return len(some)
 
-    k = 0
     for batch in batches:
         if batch.num_rows:
             k = batch.column("range")[0].as_py()
-            yield out([batch.column(c).to_numpy() for c in ("rank", "other", "doc", "pack", "at")])
-    yield out([np.zeros(0, np.int64)] * 5, True)
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pack, range, at, bits) from verdicts in order of (pack, at): the verdicts of a pack from row `at` on."""
-    for batch in batches:
-        pack, at, verdict, range_ = (batch.column(c).to_numpy() for c in ("pack", "at", "verdict", "range"))
-        cut = np.flatnonzero(np.append(True, pack[1:] != pack[:-1])) if len(pack) else np.zeros(0, int)
-        rows = []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pack)], strict=False):
-            own = np.zeros(int(at[b - 1] - at[a]) + 1, np.uint8)
-            own[at[a:b] - at[a]] = verdict[a:b]
-            rows.append((int(pack[a]), int(range_[a]), int(at[a]), zlib.compress(own.tobytes(), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["pack", "range", "at", "bits"])
+            waiting += add([batch.column(c).to_numpy() for c in ("rank", "other", "doc", "pack", "at")])
+            if waiting > GATHER:
+                yield gathered()
+                waiting = 0
+    add([np.zeros(0, np.int64)] * 5, True)
+    if found:
+        yield gathered()
 
 
 def _round(rows: DataFrame, ranges: int) -> DataFrame:
     """(pack, verdicts array<struct<range, at, bits>>) from rows (range, pack, n, data): one range a partition, in which
-    Spark sorts the pairs, and the verdicts by their packs."""
+    Spark sorts the pairs."""
     pairs = rows.repartitionById(ranges, F.col("range")).mapInArrow(_unpacked, _ROW).sortWithinPartitions("rank", "other", "doc")
-    judged = pairs.mapInArrow(_judged, "pack long, at int, verdict byte, range int").sortWithinPartitions("pack", "at")
-    gathered = judged.mapInArrow(_gathered, "pack long, range int, at int, bits binary")
+    gathered = pairs.mapInArrow(_judged, "pack long, range int, at int, bits binary")
     return gathered.groupBy("pack").agg(F.collect_list(F.struct("range", "at", "bits")).alias("verdicts"))  # a few entries a range
 
 
