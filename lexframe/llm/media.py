@@ -1,10 +1,14 @@
 """Media columns over content-addressed payloads in tar shards.
 
 A payload is stored as an 8-bit grey PNG image of 64 columns, one sample a byte, under the SHA-256 of the image. Images
-are appended once a task to plain tar shards in the shared folder, and each has one address; rows carry digest, shard,
+are appended to plain tar shards in the shared folder, each once over the whole corpus; rows carry digest, shard,
 offset and length. `image_sizes` fills metadata columns from ranged reads of the 33 header bytes alone;
 `read_media` reads whole images back.
 
+To store an image once without shuffling all of them, digests are counted first. A Bloom filter of those that occur
+again, of at most FILTER_BITS bits, goes to all tasks: a text that it excludes occurs once and is written where it is
+read; the others, repeated ones and a few more, are shuffled by digest, one a task, and written there.
+
 Defined cases: a null text is an empty payload of 64 zero bytes; equal texts share one image; an empty table has no
 shards; repeated rows give repeated rows; other columns are ignored.
 """
@@ -25,11 +29,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import keep, raw_texts, scratch, texts, width
+from lexframe.llm.kit import drop, keep, raw_texts, scratch, slices, texts, width
 
 COLUMNS, HEADER = 64, 33
 #: A shard is closed when it has this many bytes.
 SHARD_BYTES = 64 << 20
+#: Bits of the filter of repeated digests at most (8 MB), and bits a digest.
+FILTER_BITS, DIGEST_BITS = 1 << 26, 16
 
 
 def payload(raw: bytes) -> bytes:
@@ -46,7 +52,7 @@ def to_png(data: bytes) -> bytes:
     rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, COLUMNS)
     lines = np.zeros((len(rows), COLUMNS + 1), dtype=np.uint8)
     lines[:, 1:] = rows
-    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", COLUMNS, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", COLUMNS, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_size(header: bytes) -> tuple[int, int]:
@@ -76,58 +82,111 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores the images of all texts below `folder`; (doc_id, n_bytes, digest, shard, offset, length) of each row.
-
-    A task appends each distinct image it meets to its own shards, so no image is shuffled, and a group of copies is
-    stored at most once a task; the index then gives each digest one address. A shard appears under its final name only
-    when complete, and the index of shards is written as a table: a task that runs again leaves an unreferenced shard,
-    never a wrong one.
-    """
-    rows = texts(docs, id_col, text_col)
+class _Shards:
+    """Appends images to tar shards below a folder. A shard appears under its final name only when complete, so a task
+    that runs again leaves an unreferenced shard, never a wrong one."""
+
+    def __init__(self, folder: str):
+        self.fs, self.path = _store(folder)
+        self.out, self.name, self.at = None, "", 0
+
+    def add(self, image: bytes) -> tuple[bytes, str, int, int]:
+        """(digest, shard, offset, length)."""
+        if self.out is None:
+            self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
+            self.fs.create_dir(self.path, recursive=True)
+            self.out = self.fs.open_output_stream(f"{self.path}/{self.name}.part")
+        digest = hashlib.sha256(image).digest()
+        entry = tarfile.TarInfo(f"{digest.hex()}.png")
+        entry.size = len(image)
+        head = entry.tobuf(tarfile.USTAR_FORMAT)
+        self.out.write(head + image + bytes(-len(image) % 512))
+        place = (digest, self.name, self.at + len(head), len(image))
+        self.at += len(head) + len(image) + -len(image) % 512
+        return place
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(bytes(1024))
+            self.out.close()
+            self.fs.move(f"{self.path}/{self.name}.part", f"{self.path}/{self.name}")
+            self.out = None
+
+
+def _bits(sources: np.ndarray, size: int) -> np.ndarray:
+    """Two bits of a filter for each digest, given as rows of 32 bytes."""
+    return (np.ascontiguousarray(sources[:, :16]).view("<u8") % np.uint64(size)).astype(np.int64)
+
+
+def _repeated(named: DataFrame) -> np.ndarray:
+    """The bytes of a Bloom filter of the digests that stand in several rows of (source); counted before the shuffle."""
+    again = named.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").select("source")
+    size, wanted = 64, min(FILTER_BITS, DIGEST_BITS * again.count())
+    while size < wanted:
+        size *= 2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(np.frombuffer(b"".join(batch.column("source").to_pylist()), np.uint8).reshape(-1, 32), size).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _store(folder)
-        seen: set[bytes] = set()
-        found: list[tuple] = []
-        out = None
+    found = again.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 32 rows
+    out = np.zeros(size // 32, "<u4")
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
 
-        def close() -> pa.RecordBatch:
-            out.write(bytes(1024))
-            out.close()
-            fs.move(f"{path}/{name}.part", f"{path}/{name}")
-            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["source", "digest", "shard", "offset", "length"])
-            found.clear()
-            return batch
 
+def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores the images of all texts below `folder`; (doc_id, n_bytes, digest, shard, offset, length) of each row."""
+    rows = texts(docs, id_col, text_col)
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    named = rows.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("source"))
+    filter_ = _repeated(named.select("source")).tobytes()
+    schema = "source binary, digest binary, shard string, offset long, length long, image binary"
+    kinds = (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, seen = _Shards(folder), set()
+        bits = np.frombuffer(filter_, np.uint8)
         for batch in batches:
-            for raw in raw_texts(batch.column("text")):
-                source = hashlib.sha256(raw).digest()
-                if source in seen:
-                    continue
-                seen.add(source)
-                if out is None:
-                    name, at = f"{uuid.uuid4().hex}.tar", 0
-                    fs.create_dir(path, recursive=True)
-                    out = fs.open_output_stream(f"{path}/{name}.part")
-                image = to_png(payload(raw))
-                digest = hashlib.sha256(image).digest()
-                entry = tarfile.TarInfo(f"{digest.hex()}.png")
-                entry.size = len(image)
-                head = entry.tobuf(tarfile.USTAR_FORMAT)
-                out.write(head + image + bytes(-len(image) % 512))
-                found.append((source, digest, name, at + len(head), len(image)))
-                at += len(head) + len(image) + -len(image) % 512
-                if at >= SHARD_BYTES:
-                    yield close()
-                    out = None
-        if out is not None:
-            yield close()
-
-    index = keep(rows.mapInArrow(shards, "source binary, digest binary, shard string, offset long, length long"), "media-index")
-    address = index.groupBy("source").agg(F.min(F.struct("shard", "offset", "length", "digest")).alias("at")).select("source", "at.*")
-    named = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("source"))
-    return named.join(address, "source").select("doc_id", "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.concat(F.lit(f"{folder}/"), "shard").alias("shard"), "offset", "length")
+            for part in slices(batch, "text"):
+                found = []
+                for raw in raw_texts(part.column("text")):
+                    source = hashlib.sha256(raw).digest()
+                    if source in seen:
+                        continue
+                    at = _bits(np.frombuffer(source, np.uint8)[None], 8 * len(bits))[0]
+                    if (bits[at >> 3] >> (at & 7) & 1).all():
+                        seen.add(source)  # those of a task that may be repeated
+                        found.append((source, None, None, None, None, to_png(payload(raw))))
+                    else:
+                        found.append((source, *shards.add(to_png(payload(raw))), None))
+                    if shards.at >= SHARD_BYTES:
+                        shards.close()
+                        shards.at = 0
+                yield table(found)
+        shards.close()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _Shards(folder)
+        for batch in batches:
+            yield table([(source, *shards.add(image), None) for source, image in zip(batch.column("source").to_pylist(), batch.column("image").to_pylist(), strict=True)])
+            if shards.at >= SHARD_BYTES:
+                shards.close()
+                shards.at = 0
+        shards.close()
+
+    first = keep(rows.mapInArrow(single, schema), "media-first")
+    again = first.where("image is not null").select("source", "image").dropDuplicates(["source"])
+    second = keep(again.mapInArrow(shared, schema).drop("image"), "media-second")
+    index = first.where("image is null").drop("image").unionByName(second)
+    media = named.join(index, "source").select("doc_id", "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.concat(F.lit(f"{folder}/"), "shard").alias("shard"), "offset", "length")
+    media = keep(media, "media-rows")
+    drop(first, second)
+    return media
 
 
 def _ranges(part: pa.RecordBatch, most: int | None = None) -> Iterator[bytes]:
@@ -153,27 +212,41 @@ def image_sizes(media: DataFrame) -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each distinct image in
-    `media`, computed from the bytes read back; an image that doesn't have its digest is an error.
+    """The rows of `media` with (payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), computed
+    from the bytes read back; an image that doesn't have its digest is an error.
 
-    The feature is the number of samples in each of 8 bands of 32 levels, then the sum of all samples.
+    Rows are dealt by address and then id, so that the rows of an image follow each other and a task reads it once; a
+    group of copies of any size is dealt over several tasks. The feature is the number of samples in each of 8 bands of
+    32 levels, then the sum of all samples.
     """
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def facts(image: bytes, digest: str) -> tuple:
+        if hashlib.sha256(image).hexdigest() != digest:
+            raise ValueError("a stored image does not have its digest")
+        samples = from_png(image)
+        levels = np.bincount(np.frombuffer(samples, dtype=np.uint8), minlength=256)
+        feature = ",".join(map(str, [*levels.reshape(8, 32).sum(1).tolist(), int(levels @ np.arange(256))]))
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-COLUMNS:]), len(image), digest, feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, ()
         for part in batches:
             out = []
-            for digest, image in zip(part.column("digest").to_pylist(), _ranges(part), strict=True):
-                if hashlib.sha256(image).hexdigest() != digest:
-                    raise ValueError("a stored image does not have its digest")
-                samples = from_png(image)
-                levels = np.bincount(np.frombuffer(samples, dtype=np.uint8), minlength=256)
-                feature = ",".join(map(str, [*levels.reshape(8, 32).sum(1).tolist(), int(levels @ np.arange(256))]))
-                out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-COLUMNS:]), len(image), digest, feature))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            address = list(zip(part.column("shard").to_pylist(), part.column("offset").to_pylist(), strict=True))
+            fresh = [i for i, x in enumerate(address) if x != (address[i - 1] if i else last)]
+            images = _ranges(part.take(pa.array(fresh, pa.int64())))
+            for i, digest in enumerate(part.column("digest").to_pylist()):
+                if address[i] != last:
+                    last, own = address[i], facts(next(images), digest)
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], [*part.schema.names, *names])
 
-    once = media.select("digest", "shard", "offset", "length").distinct()
-    once = once.repartitionByRange(width(media.sparkSession, media), "shard", "offset").sortWithinPartitions("shard", "offset")
-    return once.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    by = ("shard", "offset", "doc_id")
+    dealt = media.repartitionByRange(width(media.sparkSession, media), *by).sortWithinPartitions(*by)
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return dealt.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in media.dtypes) + ", " + added)
 
 
 def tar_names(shard: bytes) -> list[str]:
@@ -184,7 +257,5 @@ def tar_names(shard: bytes) -> list[str]:
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `write_media` with metadata from headers and the features of the images read back."""
-    spark = docs.sparkSession
-    media = keep(write_media(docs, scratch(spark, "media"), id_col, text_col), "media-rows")
-    facts = read_media(media)
-    return image_sizes(media).join(facts, "digest")
+    media = write_media(docs, scratch(docs.sparkSession, "media"), id_col, text_col)
+    return image_sizes(read_media(media))

@@ -45,3 +45,33 @@ def test_features(spark):
         assert (r.media_sha256, r.media_bytes, r.rows) == (hashlib.sha256(media.to_png(data)).hexdigest(), len(media.to_png(data)), len(data) // 64)
         assert r.feature.split(",")[-1] == str(sum(data))
     assert media.media_features(docs.limit(0)).count() == 0
+
+
+def test_one_copy_over_the_corpus(spark, tmp_path):
+    """Each image stands once in all shards, whatever tasks met it."""
+    texts = [f"text {i % 7} " * (i % 7 + 1) for i in range(60)] + [f"alone {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = media.write_media(docs, f"file://{tmp_path}/m").collect()
+    names = [n for p in (tmp_path / "m").iterdir() for n in media.tar_names(p.read_bytes())]
+    assert len(names) == len(set(names)) == len(set(texts)) == len({(r.shard, r.offset) for r in rows}) and len(rows) == 100
+
+
+def test_full_filter_changes_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(60)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(media, "FILTER_BITS", 64)
+    rows = media.write_media(docs, f"file://{tmp_path}/m").collect()
+    names = [n for p in (tmp_path / "m").iterdir() for n in media.tar_names(p.read_bytes())]
+    assert len(names) == len(set(names)) == 30 and len(rows) == 60
+
+
+def test_query(spark):
+    from lexframe.llm.queries import op9_media
+
+    d = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        raw = (r.text or "").encode()
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        want[r.doc_id] = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+    got = op9_media(spark, d).collect()
+    assert {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got} == want and len(got) == len(want)
