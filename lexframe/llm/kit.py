@@ -54,17 +54,23 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The DataFrame written to the shared folder and read back: it survives lost executors and ends the lineage.
+def write(df: DataFrame, path: str) -> None:
+    """Writes a table.
 
-    While it is written, batches for Python have few rows (texts are long, and a batch exists several times over on both
-    sides), and Spark deletes the shuffle files of the plan when it has ended, since nothing needs them any more.
+    Meanwhile, batches for Python have few rows (texts are long, and a batch exists several times over on both sides),
+    and Spark deletes the shuffle files of the plan when it has ended, since nothing needs them any more.
     """
-    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
+    spark = df.sparkSession
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     with _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows if 0 < rows < BATCH_ROWS else BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The DataFrame written to the shared folder and read back: it survives lost executors and ends the lineage."""
+    path, schema = scratch(df.sparkSession, name), df.schema
+    write(df, path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
     out._kept_at = path
     return out
 

@@ -5,7 +5,7 @@ features), the words and the beginnings of words, and the document that of a noi
 sentences' complements. The weights are trained from document labels alone, by full-batch Adam on the log loss;
 afterwards `sentences` locates the sentences that made the score.
 
-Training reads at most `sample` labelled documents, half of each class, those with the smallest hashes of their ids;
+Training reads at most `sample` labelled documents of at most TRAIN_BYTES bytes, half of each class, those with the smallest hashes of their ids;
 the classes are weighted back to their shares among all training labels. Counts over labels and scores cover all rows.
 
 Defined cases: a text without words, null ones included, is one sentence without words; features are hashed to BUCKETS
@@ -30,6 +30,8 @@ from lexframe.llm.kit import U64, WORDS, mix, slices, texts
 BUCKETS = 1 << 18
 #: Upper bound of the number of labelled documents that training reads.
 SAMPLE = 5_000
+#: Labelled documents with longer texts are not trained on, which bounds the sample in bytes; they are scored like all others.
+TRAIN_BYTES = 1 << 16
 #: Lengths in bytes of the beginnings that are features beside the whole word; features with a weight at most.
 STEMS, FEATURES = (4, 5, 6, 7, 8), 1 << 14
 _WORD = np.zeros(256, dtype=bool)
@@ -148,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
+    rows = texts(docs, id_col, text_col).where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
