@@ -20,8 +20,8 @@ not needed, and no others are left out.
 
 Defined cases: words are runs of bytes other than space and \\t \\n \\v \\f \\r after A-Z became lower case; fewer words than
 n make one shingle, none no shingle, and a document without shingles is linked with nothing; null texts are empty; rows
-with null ids are left out; rows with equal ids keep their own sets and classes; other columns
-are ignored. Shingles, sets and blocks are told apart by 64-bit names.
+with null ids have their own sizes, no component and no links; rows with equal ids keep their own sets and classes; other
+columns are ignored. Shingles, sets and blocks are told apart by 64-bit names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexframe.llm.components import components
-from lexframe.llm.kit import U64, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
+from lexframe.llm.kit import U64, drop, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
 
 GROUPS, FINE, LEAF, TILE, SMALL = 32, 256, 32, 16_384, 64  # FINE is a multiple of GROUPS
 #: Documents of the sample by which shingles are ordered, how many of them make a shingle frequent, and how many of those are told apart.
@@ -349,10 +349,11 @@ def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document, where the component is the smallest id that links lead to."""
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    everything = texts(docs, id_col, text_col)
+    rows = everything.where("doc_id is not null")
     ranges = width(spark, rows)
-    found = keep(_documents(rows, n), "join-documents")
-    nodes = found.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("point").alias("point"))
+    found = keep(_documents(everything, n), "join-documents")
+    nodes = found.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("point").alias("point"))
     nodes = keep(nodes, "join-nodes")
 
     # A block is cut by set size: sets that reach the threshold lie in the same step of factor 100 / percent or the next.
@@ -366,7 +367,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     members = members.withColumns({"tiles": tiles, "own": own}).select("block", "step", "node", "size", "point", "tiles", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     alone = F.col("own") == F.col("other")
     members = members.select(F.xxhash64("block", "step", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.when(alone, -1).otherwise(F.col("own")).alias("tile"), "node", "size", "point")
-    members = keep(members, "join-members")
+    everyone = keep(members, "join-members")
 
     def partnered(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("size", "ascending"), ("node", "ascending")])
@@ -378,7 +379,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return table.select(["block", "tile", "node", "size", "point"]).filter(pa.array(good))
 
     schema = "block long, tile int, node long, size long, point binary"
-    members = keep(members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(partnered, schema), "join-partnered")
+    members = keep(everyone.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(partnered, schema), "join-partnered")
+    drop(everyone)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -388,7 +390,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in own], pa.int64()), pa.array([squeeze.compress(x) for _, x in own], pa.binary())], ["node", "body"])
 
     asked = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    bodies = keep(rows.join(asked, "doc_id").dropDuplicates(["doc_id"]).select("node", "text").mapInArrow(squeezed, "node long, body binary"), "join-bodies")  # dealt by doc_id already
+    # Rows with equal ids and other texts are told apart by their sets; equal rows are one. All of it is dealt by doc_id.
+    bodies = keep(rows.join(asked, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text").mapInArrow(squeezed, "node long, body binary"), "join-bodies")
 
     parts = members.select("node").distinct().select("node", F.col("node").alias("component"))
     done = spark.createDataFrame([], "a long, b long")
@@ -412,5 +415,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     smallest = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = whole.select("node", "component").join(smallest, "component").select("node", "component_id")
     own = found.select("doc_id", "node", F.col("size").alias("n_shingles"))
-    linked = own.where("n_shingles > 0").join(answer, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = own.where("n_shingles > 0 and doc_id is not null").join(answer, "node").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

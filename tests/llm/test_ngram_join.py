@@ -103,7 +103,7 @@ def test_components(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
-    assert [(r.doc_id, r.component_id) for r in ngram_join.classes(docs).collect()] == [(1, 1), (1, 1)]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(docs).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (None, 2, None)]
     assert ngram_join.classes(docs.limit(0)).count() == 0
 
 
@@ -141,3 +141,17 @@ def test_forest_spans_and_prefers_earlier_edges():
                 up[a] = b
                 want.append(k)
         assert ngram_join.forest(x, y, n).tolist() == want
+
+
+def test_equal_ids_and_unlike_texts(spark):
+    """Each row of an id keeps its own set: links of both texts are found."""
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (2, one + " z"), (3, two + " z"), (1, one), (4, "else " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.classes(docs).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_a_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(5, long), (7, long + " more"), (6, "short text of some words")]
+    assert found(spark, rows) == [(5, 199_997, 5), (6, 2, 6), (7, 199_998, 5)]
