@@ -5,12 +5,14 @@ distinct value is a protected entity. Corpus co-occurrence then estimates how st
 documents, PMI(t; e) = log2(n_te * N / (n_t * n_e)) bits of the IC(e) = log2(N / n_e) bits that identify the entity,
 where a term belongs to all entities that its documents hold. A term whose PMI is at least `remove` times
 IC(e) is removed, at least `generalise` times it is generalised, at each place in the documents that hold the entity.
-`detect` holds every observed pair against these thresholds. `find` and `disclosing` are a narrower measure that `detect`
-doesn't use: terms within REACH words of an entity, seen in `support` different contexts.
+
+A term reaches the threshold only if n_t <= n_te * (N / n_e) ** (1 - generalise), and n_te <= n_e: terms too frequent for
+every entity of their document are left out before pairs are made. The bound is exact, it leaves out no pair that counts.
 
 Defined cases: a null text is empty; offsets count code points, ends are exclusive; a value in every document has no
-information and no term reveals it; numbers of documents count distinct ids, rows with null ids report their base spans
-only; repeated rows give repeated results; other columns are ignored.
+information and no term reveals it; a document is a row, so all numbers count repeated rows and rows with equal ids alike;
+rows with null ids report their base spans only and are not counted; repeated rows give repeated results; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from lexframe.llm.kit import keep, slices, texts
 
 #: The kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, REMOVE, GENERALISE, SUPPORT = 8, 0.9, 0.75, 2
+REMOVE, GENERALISE = 0.9, 0.75
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -86,56 +88,11 @@ def _name(x: str) -> int:
     return xxhash.xxh64_intdigest(x) - (1 << 63)
 
 
-def surroundings(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, context, start, end) of the words within REACH words of each span and outside all spans; entity,
-    term and context (all those words in order) are 64-bit names."""
-    out = []
-    for start, end, kind in spans:
-        # REACH words on either side are looked for in growing stretches, so a long text isn't read for each span.
-        near = []
-        for left in (True, False):
-            size = 64 * REACH
-            while True:
-                a, b = (max(0, start - size), start) if left else (end, min(len(text), end + size))
-                words = [(m.start(), m.end()) for m in _WORD.finditer(text, a, b)]
-                whole = a == 0 if left else b == len(text)
-                if not whole:  # a word at the edge may go on beyond it
-                    words = words[1:] if left else words[:-1]
-                words = [(x, y) for x, y in words if not any(s < y and x < e for s, e, _ in spans if s < b and a < e)]
-                if whole or len(words) >= REACH:
-                    near += words[-REACH:] if left else words[:REACH]
-                    break
-                size *= 2
-        terms = [text[x:y].lower() for x, y in near]
-        entity, context = _name(_value(text[start:end], kind)), _name(" ".join(terms))
-        out += [(entity, _name(t), context, x, y) for t, (x, y) in zip(terms, near, strict=True)]
-    return out
-
-
-_NEAR = "entity bigint, term bigint, context bigint, start bigint, end bigint"
 _SPAN = "start bigint, end bigint, kind string"
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans, near): the base spans of each row and the terms around them."""
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    near_type = pa.list_(pa.struct([(x.split()[0], pa.int64()) for x in _NEAR.split(", ")]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                spans, near = [], []
-                for text in part.column("text").to_pylist():
-                    own = base_spans(text or "")
-                    spans.append([{"start": a, "end": b, "kind": k} for a, b, k in own])
-                    near.append([dict(zip(("entity", "term", "context", "start", "end"), x, strict=True)) for x in surroundings(text, own)] if own else [])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, span_type), pa.array(near, near_type)], ["doc_id", "spans", "near"])
-
-    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans array<struct<{_SPAN.replace(' ', ': ').replace(',:', ',')}>>, near array<struct<{_NEAR.replace(' ', ': ').replace(',:', ',')}>>")
-
-
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 500_000) -> DataFrame:
-    """(term, n_t): the number of documents, by distinct id, in which each term occurs. Each task sends one row for each
+    """(term, n_t): the number of rows with ids in which each term occurs. Each task sends one row for each
     distinct term of up to `most` it holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,40 +118,39 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, ratio, action) of the terms that reveal an entity beyond the threshold."""
-    n = docs.where(F.col(id_col).isNotNull()).count()
-    near = found.where("doc_id is not null").select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.entity", "x.term", "x.context")
-    n_e = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_te = near.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    seen = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = n_te.join(seen, ["entity", "term"]).join(n_e, "entity").join(document_counts(docs, id_col, text_col), "term")
-    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    ratio = F.round(pmi / F.log2(F.lit(float(n)) / F.col("n_e")), 9)
-    rated = pairs.where(F.col("n_e") < n).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
-    return rated.select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
-
-
-def find_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans, entities, words): the base spans of each row, its distinct entities, and every word outside all
-    spans if there are any, as (term, start, end)."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans, entities, text): the base spans of each row, its distinct entities, and its text if it has both an
+    entity and an id."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    word_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                spans, entities, words = [], [], []
-                for text in part.column("text").to_pylist():
+                spans, entities, left = [], [], []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     own = base_spans(text or "")
                     spans.append([{"start": a, "end": b, "kind": k} for a, b, k in own])
                     entities.append(sorted({_name(_value(text[a:b], k)) for a, b, k in own}))
-                    words.append([{"term": _name(text[x:y].lower()), "start": x, "end": y} for x, y in free_words(text, own)] if own else [])
-                columns = [pa.array(spans, span_type), pa.array(entities, pa.list_(pa.int64())), pa.array(words, word_type)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "spans", "entities", "words"])
+                    left.append(text if own and doc_id is not None else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.int64())), pa.array(left, pa.string())], ["doc_id", "spans", "entities", "text"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans array<struct<{_SPAN.replace(' ', ': ').replace(',:', ',')}>>, entities array<bigint>, text string")
+
+
+def _distinct_terms(rows: DataFrame) -> DataFrame:
+    """(row, most, term) of the distinct words outside all spans of (row, most, spans, text)."""
 
-    schema = "doc_id long, spans array<struct<start: bigint, end: bigint, kind: string>>, entities array<bigint>, words array<struct<term: bigint, start: bigint, end: bigint>>"
-    return texts(docs, id_col, text_col).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out: tuple[list, ...] = ([], [], [])
+                for row, most, spans, text in zip(*(part.column(c).to_pylist() for c in ("row", "most", "spans", "text")), strict=True):
+                    own = {text[a:b].lower() for a, b in free_words(text, [(s["start"], s["end"], s["kind"]) for s in spans])}
+                    for column, values in zip(out, ([row] * len(own), [most] * len(own), map(_name, own)), strict=True):
+                        column += values
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64())], ["row", "most", "term"])
+
+    return rows.select("row", "most", "spans", "text").mapInArrow(run, "row long, most double, term long")
 
 
 def free_words(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -208,34 +164,42 @@ def free_words(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[i
             yield m.span()
 
 
-def disclosing_whole(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, ratio, action) of the terms that reveal an entity beyond the threshold, where a term belongs to all
-    entities of its document: n_te, n_t and n_e count whole documents alike."""
-    n = docs.where(F.col(id_col).isNotNull()).count()
-    own = found.where("doc_id is not null and size(entities) > 0").select("doc_id", "entities", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("terms"))
-    held = own.select("doc_id", F.explode("entities").alias("entity"), "terms")
-    n_e = held.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_te = held.select("entity", "doc_id", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = n_te.join(n_e, "entity").join(document_counts(docs, id_col, text_col), "term")
-    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    ratio = F.round(pmi / F.log2(F.lit(float(n)) / F.col("n_e")), 9)
-    rated = pairs.where(F.col("n_e") < n).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
-    return rated.select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
-
-
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, base, terms): the base spans of each row, and the spans (start, end, action) of all occurrences of the
-    terms that disclose an entity of the document."""
-    found = keep(find_whole(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-found")
-    told = disclosing_whole(found, docs, id_col, text_col, generalise, remove)
-    own = found.where("doc_id is not null and size(entities) > 0").select("row", "entities", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("term"))
-    own = own.select("row", F.explode("entities").alias("entity"), "term").select("row", "entity", F.explode("term").alias("term"))
-    acts = own.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("action").alias("action"))
+    terms that disclose an entity of the document.
+
+    Texts are shuffled only where they hold an entity and a disclosing term; terms and entities travel as 64-bit names.
+    """
+    found = keep(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    n = float(found.where("doc_id is not null").count())
+    held = found.where("text is not null").select("row", F.explode("entities").alias("entity"))
+    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    held = keep(held.join(n_e, "entity"), "pii-held")  # (entity, row, n_e)
+    most = held.groupBy("row").agg((F.pow(F.max("n_e").cast("double"), F.lit(generalise)) * F.pow(F.lit(n), F.lit(1 - generalise)) * (1 + 1e-6)).alias("most"))
+    rare = _distinct_terms(found.where("text is not null").join(most, "row")).join(document_counts(docs, id_col, text_col), "term").where("n_t <= most")
+    rare = keep(rare.select("row", "term", "n_t"), "pii-rare")
+    pairs = rare.join(held, "row").groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+    ratio = F.round(pmi / F.log2(F.lit(n) / F.col("n_e")), 9)
+    told = pairs.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    told = told.select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
+    acts = rare.join(held, "row").join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("action").alias("action"))
     acts = acts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("acts"))  # at most the distinct words of one document
-    rows = found.join(acts, "row", "left")
-    terms = F.filter(F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.col("acts")[w["term"]].alias("action"))), lambda t: t["action"].isNotNull())
+    term_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())]))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                terms = []
+                for spans, text, own in zip(*(part.column(c).to_pylist() for c in ("spans", "text", "acts")), strict=True):
+                    action = dict(own)
+                    places = ((a, b, action.get(_name(text[a:b].lower()))) for a, b in free_words(text, [(s["start"], s["end"], s["kind"]) for s in spans]))
+                    terms.append([{"start": a, "end": b, "action": x} for a, b, x in places if x])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(terms, term_type)], ["row", "terms"])
+
+    marked = found.where("text is not null").join(acts, "row").select("row", "spans", "text", "acts").mapInArrow(mark, "row long, terms array<struct<start: bigint, end: bigint, action: string>>")
     empty = F.array().cast("array<struct<start: bigint, end: bigint, action: string>>")
-    return rows.select("doc_id", F.col("spans").alias("base"), F.when(F.col("acts").isNull(), empty).otherwise(terms).alias("terms"))
+    return found.select("row", "doc_id", "spans").join(marked, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", empty).alias("terms"))
 
 
 def joined(spans: Column) -> Column:

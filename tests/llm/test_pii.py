@@ -3,7 +3,7 @@
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 from lexframe.llm import pii
 
@@ -43,52 +43,18 @@ def test_long_runs_are_quick():
         pii.base_spans(text)
 
 
-def by_hand(rows, generalise, remove, support):
-    n, n_t, n_e, n_te, ctx = len({i for i, _ in rows}), Counter(), defaultdict(set), defaultdict(set), defaultdict(set)
-    for i, text in rows:
-        text = text or ""
-        n_t.update(set(re.findall(r"\w+", text.lower())))
-        spans = plain(text)
-        for a, b, kind in spans:
-            value = pii._value(text[a:b], kind)
-            n_e[value].add(i)
-            words = [(m.start(), m.end()) for m in re.finditer(r"\w+", text[:a])]
-            words += [(m.start() + b, m.end() + b) for m in re.finditer(r"\w+", text[b:])]
-            free = [(x, y) for x, y in words if not any(s < y and x < e for s, e, _ in spans)]
-            near = [w for w in free if w[0] < a][-pii.REACH :] + [w for w in free if w[0] >= b][: pii.REACH]
-            terms = [text[x:y].lower() for x, y in near]
-            for t in terms:
-                n_te[value, t].add(i)
-                ctx[value, t].add(" ".join(terms))
-    out = {}
-    for (e, t), docs in n_te.items():
-        if len(ctx[e, t]) >= support and len(n_e[e]) < n:
-            ratio = math.log2(len(docs) * n / (n_t[t] * len(n_e[e]))) / math.log2(n / len(n_e[e]))
-            if ratio >= generalise - 1e-9:
-                out[pii._name(e), pii._name(t)] = "remove" if ratio >= remove - 1e-9 else "generalise"
-    return out
-
-
-def test_disclosure(spark):
-    rng = random.Random(7)
-    people = [(f"p{i}@x.example.com", [f"street{i}", f"club{i}"]) for i in range(6)]
-    common = ["the", "of", "and", "on", "er", "ti"]
-    rows = []
-    for i in range(120):
-        words = [rng.choice(common) for _ in range(30)]
-        if rng.random() < 0.6:
-            mail, facts = rng.choice(people)
-            words[10:10] = [rng.choice(facts), mail, rng.choice(facts)]
-        if rng.random() < 0.1:
-            words.append(rng.choice(people)[1][0])
-        rows.append((i, " ".join(words)))
-    rows += [(200, None), (201, "")]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, term string").repartition(3)
-    got = {(r.entity, r.term): r.action for r in pii.disclosing(pii.find(docs), docs).collect()}
-    want = by_hand(rows, pii.GENERALISE, pii.REMOVE, pii.SUPPORT)
-    assert got == want and len(want) > 5
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert len(clean) == len(rows) and clean[200] == "" and not any("@" in t for t in clean.values())
+def test_repeated_rows_count_each(spark):
+    """Rows with equal ids count alike in all numbers: a term in two rows of one id, with its entity in both, discloses it."""
+    rows = [(1, "quimby a@b.cd"), (1, "quimby a@b.cd"), (2, "common words"), (3, "common words")] + [(k, "common") for k in range(4, 40)]
+    got = {(r.doc_id, t.start, t.action) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() for t in r.terms}
+    assert got == {(1, 0, "remove")}
+
+
+def test_a_long_text(spark):
+    long = "filler words " * 100_000 + "zephyr a@b.cd " + "more of them " * 100_000
+    docs = spark.createDataFrame([(1, long)] + [(k, "filler words more of them") for k in range(2, 60)], "doc_id long, text string")
+    row = pii.detect(docs).where("doc_id = 1").first()
+    assert [(long[t.start : t.end], t.action) for t in row.terms] == [("zephyr", "remove")]
 
 
 def test_rows(spark):
