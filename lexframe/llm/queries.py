@@ -62,12 +62,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_RUNS = [*decontam.MASKS, *("1" * n for n in range(1, min(map(len, decontam.MASKS))))]
+
+
+def _op6_seeds(source: str, id_: str) -> str:
+    """Seeds of every mask and, for items too short for one, of the whole item."""
+    return " union all ".join(f"select {id_}, p, '{m}' || array_to_string([{', '.join(f'tok[p+{i}]' for i, x in enumerate(m) if x == '1')}], ' ') as seed from (select {id_}, tok, unnest(range(1, len(tok) - {len(m)} + 2)) as p from {source} where len(tok) {'=' if id_ == 'item_id' and '0' not in m else '>='} {len(m)})" for m in _RUNS)
+
+
 OP6_SQL = rf"""
 with d as (select doc_id, {_WORDS} as tok from documents), b as (select distinct item_id, {_WORDS} as tok from benchmark),
-dp as (select doc_id, tok, unnest(range(1, len(tok) - 7)) as p from d where len(tok) >= 9),
-bp as (select item_id, tok, unnest(range(1, len(tok) - 7)) as p from b where len(tok) >= 9),
-ds as ({" union all ".join(f"select doc_id, p, '{m}' || array_to_string([{', '.join(f'tok[p+{i}]' for i, x in enumerate(m) if x == '1')}], ' ') as seed from dp" for m in decontam.MASKS)}),
-bs as ({" union all ".join(f"select item_id, p, '{m}' || array_to_string([{', '.join(f'tok[p+{i}]' for i, x in enumerate(m) if x == '1')}], ' ') as seed from bp" for m in decontam.MASKS)}),
+ds as ({_op6_seeds("d", "doc_id")}),
+bs as ({_op6_seeds("b", "item_id")}),
 hits as (select distinct doc_id, item_id, ds.p - bs.p as diagonal from ds join bs using (seed)),
 wide as (select doc_id, item_id, diagonal, d.tok as dt, b.tok as bt, unnest(range(1, len(b.tok) + 1)) as j from hits join d using (doc_id) join b using (item_id)),
 same as (select distinct doc_id, item_id, len(bt) as n_tokens, j from wide where diagonal + j >= 1 and diagonal + j <= len(dt) and dt[diagonal + j] = bt[j])
@@ -78,14 +84,20 @@ from same group by doc_id, item_id, n_tokens having count(*) >= 0.5 * n_tokens
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(_table(spark, sf_dir, "pages"), kit.scratch(spark, "warc"))
-    return warc.read_archive(spark, path).select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-
-
-OP7_SQL = """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
-f as (select *, min(page_id) over (partition by d) as first from p)
-select page_id, n as payload_bytes, d as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
-case when n >= 100 and page_id <> first then first end as refers_to from f
+    rows = warc.read_archive(spark, path)
+    return rows.select(F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
+
+
+OP7_SQL = f"""
+with p as (select page_id, url, coalesce(html, '') as body, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select *, min(page_id) over (partition by d) as first from p),
+g as (select *, n >= 100 and page_id <> first as again, chr(13) || chr(10) as e from f),
+h as (select *, 'WARC/1.1' || e || 'WARC-Type: ' || case when again then 'revisit' else 'response' end || e || 'WARC-Record-ID: <urn:record:' || page_id || '>' || e || 'WARC-Date: 2000-01-01T00:00:00Z' || e
+|| coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || e, '') || 'WARC-Payload-Digest: sha256:' || d || e
+|| case when again then 'WARC-Profile: {warc.PROFILE}' || e || 'WARC-Refers-To: <urn:record:' || first || '>' || e else '' end
+|| 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || case when again then 0 else n end || e || e || case when again then '' else body end || e || e as record from g)
+select page_id, n as payload_bytes, d as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+case when again then first end as refers_to, octet_length(encode(record)) as record_bytes, sha256(record) as record_sha256 from h
 """
 
 

@@ -1,8 +1,8 @@
 """Content-addressed web archive.
 
 `write_archive` stores each distinct payload once, under its SHA-256, and the exact header of every record apart from
-it. `read_archive` verifies every stored payload against its digest and joins the two again; `records` gives the bytes
-of each record as a WARC file would hold them.
+it. `read_archive` verifies every stored payload against its digest, joins the two again, and gives the bytes of each
+record as a WARC file would hold them.
 
 Defined cases: a null body is an empty payload; a null URL leaves out WARC-Target-URI; line ends inside a URL are
 percent-encoded; records without an id are responses; equal rows are equal records; an empty table is an empty archive;
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexframe.llm.kit import write
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -34,10 +36,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     (digest, id), which no group of copies can skew.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
+    rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long"), "key": F.coalesce("id", F.lit(-1))})
     first = rows.groupBy("digest").agg(F.min("id").alias("first"))
     owners = first.select(F.col("digest").alias("d"), F.coalesce("first", F.lit(-1)).alias("f"))
-    rows.join(owners, (F.col("digest") == F.col("d")) & (F.coalesce("id", F.lit(-1)) == F.col("f")), "left_semi").select("digest", "payload").write.parquet(f"{path}/payloads")
+    own = rows.select("digest", "key", "payload").join(owners, (F.col("digest") == F.col("d")) & (F.col("key") == F.col("f")), "left_semi")
+    # Equal rows are dealt to the same place by the join already, so the second grouping shuffles nothing.
+    write(own.groupBy("digest", "key").agg(F.first("payload").alias("payload")).select("digest", "payload"), f"{path}/payloads")
 
     again = (F.col("bytes") >= least) & (F.col("id") != F.col("first"))
     again = F.coalesce(again, F.lit(False))
@@ -55,7 +59,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         _line("Content-Length", F.when(again, F.lit(0)).otherwise(F.col("bytes")).cast("string")),
         F.lit("\r\n"),
     )
-    rows.drop("payload").join(first, "digest").select("digest", header.alias("header")).write.parquet(f"{path}/headers")
+    write(rows.drop("payload").join(first, "digest").select("digest", header.alias("header")), f"{path}/headers")
     return path
 
 
@@ -76,17 +80,11 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(id, url, type, refers_to, digest, bytes, header) of every record, parsed from its header and joined to its
-    verified payload; the bytes stay where they are."""
-    headers = spark.read.schema("digest string, header string").parquet(f"{path}/headers")
-    stored = payloads(spark, path).groupBy("digest").agg(F.max("bytes").alias("bytes"))
-    parsed = headers.select(F.substring(_field("WARC-Payload-Digest"), 8, 64).alias("digest"), "header", _id("WARC-Record-ID").alias("id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("type"), _id("WARC-Refers-To").alias("refers_to"))
-    return parsed.join(stored, "digest")
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record): the bytes of each record, header, block and two line ends; a revisit has an empty block."""
+    """(id, url, type, refers_to, digest, payload, header, record) of every record: parsed from its header, joined to the
+    verified payload by digest, and put together again. `record` is header, block and two line ends, byte for byte; a
+    revisit has an empty block. One payload meets all its headers in a join that adaptive execution splits."""
     headers = spark.read.schema("digest string, header string").parquet(f"{path}/headers")
-    stored = payloads(spark, path).dropDuplicates(["digest"])
     block = F.when(_field("WARC-Type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return headers.join(stored, "digest").select(_id("WARC-Record-ID").alias("id"), F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
+    record = F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
+    parsed = headers.select(F.substring(_field("WARC-Payload-Digest"), 8, 64).alias("digest"), "header")
+    return parsed.join(payloads(spark, path), "digest").select(_id("WARC-Record-ID").alias("id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("type"), _id("WARC-Refers-To").alias("refers_to"), "digest", "payload", "header", record.alias("record"))
