@@ -10,8 +10,8 @@ Chunks are what the SQL defines, and they leave most runs of a few lines. `dedup
 instead: all of two or more consecutive lines that stand together earlier too.
 
 Defined cases: null and empty texts stay as they are; a chunk of one line is never removed; rows with null ids are
-neither removed from nor compared with; rows with equal ids have equal chunks, which don't count as repeats of each
-other; the line end after a removed chunk goes with it; other columns are ignored.
+neither removed from nor compared with; equal rows keep the same chunks, and rows with equal ids and other texts are told
+apart by their chunks; the line end after a removed chunk goes with it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk): the chunks to remove.
+    """(doc_id, chunk, name): the chunks to remove, by number and hash.
 
     Hashes are grouped with a partial aggregation before the shuffle; only chunks whose hash repeats are fetched and
     compared, each with the one row of the first, in a join that adaptive execution splits where a hash is frequent.
@@ -78,7 +78,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = bodies.join(firsts, "name").withColumn("first", (F.col("doc_id") == F.col("first_doc")) & (F.col("chunk") == F.col("first_chunk")))
     marked = keep(marked, "line-marked")
     owners = marked.where("first").groupBy("name").agg(F.first("body").alias("first_body"))
-    return marked.where("not first").join(owners, "name").where("body = first_body").select("doc_id", "chunk").distinct()
+    return marked.where("not first").join(owners, "name").where("body = first_body").select("doc_id", "chunk", "name").distinct()
+
+
+def _name(body: bytes) -> int:
+    return int.from_bytes(hashlib.md5(body).digest()[:8], "big", signed=True)
+
+
+def _without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int, int, int]:
+    """(text, lines, chunks, removed lines, removed chunks) of a text without some chunks; one with another hash stays."""
+    lines = (text or "").encode().split(b"\n")
+    chunks, lost = cut(lines), {x["chunk"]: x["name"] for x in gone or ()}
+    lost = {k for k, name in lost.items() if k < len(chunks) and _name(b"\n".join(lines[slice(*chunks[k])])) == name}
+    kept = [x for k, (a, b) in enumerate(chunks) if k not in lost for x in lines[a:b]]
+    return text if not lost else b"\n".join(kept).decode(), len(lines), len(chunks), len(lines) - len(kept), len(lost)
+
+
+def _listed(gone: DataFrame) -> DataFrame:
+    return gone.select(F.col("doc_id").alias("__id"), "chunk", "name").groupBy("__id").agg(F.collect_list(F.struct("chunk", "name")).alias("__gone"))  # at most the chunks of one document
 
 
 def remove_chunks(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,21 +104,34 @@ def remove_chunks(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for text, removed in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    lines, lost = (text or "").encode().split(b"\n"), set(removed or ())
-                    chunks = cut(lines)
-                    kept = [x for k, (a, b) in enumerate(chunks) if k not in lost for x in lines[a:b]]
-                    row = (text if not lost else b"\n".join(kept).decode(), len(lines), len(chunks), len(lines) - len(kept), len(lost))
-                    for x, y in zip(out, row, strict=True):
-                        x.append(y)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out[0], pa.string()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["doc_id", "text", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"])
+                out = [_without(*x) for x in zip(part.column("text").to_pylist(), part.column("__gone").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[i] for x in out], pa.int64() if i else pa.string()) for i in range(5))], ["doc_id", "text", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"])
 
-    lost = gone.groupBy("doc_id").agg(F.collect_set("chunk").alias("gone"))
-    rows = texts(docs, id_col, text_col).join(lost, "doc_id", "left").select("doc_id", "text", "gone")
+    rows = texts(docs, id_col, text_col)
+    rows = rows.join(_listed(gone), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "__gone")
     return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_chunks long, n_removed_lines long, n_removed_chunks long")
 
 
+def rewrite(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """All columns of each row, with the chunks of `gone` taken out of its text in place and, with `length_col`, that
+    column set to the length in characters of a text that changed. A row of which nothing is left goes."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                out = [_without(*x) for x in zip(part.column(text_col).to_pylist(), part.column("__gone").to_pylist(), strict=True)]
+                own = {text_col: pa.array([x[0] for x in out], pa.string())}
+                if length_col in names:
+                    old = part.column(length_col)
+                    own[length_col] = pa.array([len(x[0]) if x[4] else n for x, n in zip(out, old.to_pylist(), strict=True)], old.type)
+                left = pa.array([not x[4] or x[0] != "" for x in out], pa.bool_())
+                yield pa.RecordBatch.from_arrays([own.get(c, part.column(c)) for c in names], names).filter(left)
+
+    rows = docs.join(_listed(gone), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    return rows.mapInArrow(run, docs.schema)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, at, one, two) of each two consecutive lines: the place of the first and two names of both."""
     for batch in batches:

@@ -49,7 +49,11 @@ def test_toxicity(spark, stages):
 
 def test_lines(stages):
     _, before, after = stages[1]
-    owner, rows = {}, sorted((r.doc_id, r.text or "") for r in before.collect())
+    owner, rows, seen = {}, [], {""}
+    for i, t in sorted((r.doc_id, r.text or "") for r in before.collect()):
+        if t not in seen or not t:  # copies of a whole document go first
+            rows.append((i, t))
+        seen.add(t)
     chunks = {i: [b"\n".join(t.encode().split(b"\n")[a:b]) for a, b in line_dedup.cut(t.encode().split(b"\n"))] for i, t in rows}
     size = {i: [b - a for a, b in line_dedup.cut(t.encode().split(b"\n"))] for i, t in rows}
     want = {}
@@ -117,10 +121,26 @@ def test_planted_copies_go(spark, tmp_path):
 def test_copies_leave_the_rest_alike(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     own = corpus_pipeline.without_copies(docs)
-    before, after = ({r.doc_id: r.text for r in corpus_pipeline.new_lines(spark, d, DIR).collect()} for d in (docs, own))
+    before, after = ({r.doc_id: r.text for r in line_dedup.rewrite(d, line_dedup.repeated_chunks(d), length_col="n_chars").collect()} for d in (docs, own))
     ids = {r.doc_id for r in own.select("doc_id").collect()}
     assert len(before) > len(after) and after == {i: t for i, t in before.items() if i in ids}
 
 
 def test_public_pattern():
     assert public_tokenizers.PATTERN
+
+
+def test_equal_ids_and_unlike_texts(spark, tmp_path):
+    """No text is lost or replaced by that of another row with the same id."""
+    common = "one two three four\nfive six seven eight\nnine ten eleven twelve\nx y z a b c\n" * 3
+    rows = [(1, "X start\n" + common + "X own ending", "en", "s", 1), (1, "Y start\nother lines here\n" + common + "Y other ending", "de", "t", 2), (0, common, "en", "s", 3), (2, "Y other text entirely of its own\nwith lines", "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.new_lines(spark, docs, "").collect()
+    assert {(r.lang, r.source, (r.text or "").split("\n")[0], (r.text or "").split("\n")[-1]) for r in out if r.doc_id == 1} == {("en", "s", "X start", "X own ending"), ("de", "t", "Y start", "Y other ending")}
+    assert all(r.n_chars == len(r.text) for r in out if r.doc_id == 1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 1, 2]
+    copies = spark.createDataFrame([(1, "a b"), (2, "a b"), (2, "c d")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.without_copies(copies).collect()) == [(1, "a b"), (2, "c d")]
