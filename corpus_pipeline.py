@@ -23,32 +23,33 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated chunks of lines out of the texts. A document of which nothing is left goes; one that was empty
-    before stays. n_chars follows the text."""
-    gone = line_dedup.repeated_chunks(docs)
-    changed = line_dedup.remove_chunks(docs.join(gone.select("doc_id").distinct(), "doc_id", "left_semi"), gone).select(F.col("doc_id").alias("id"), F.col("text").alias("rest")).dropDuplicates(["id"])
-    joined = docs.join(changed, F.col("doc_id") == F.col("id"), "left").where("id is null or rest <> ''")
-    return joined.select(*[F.coalesce("rest", "text").alias(c) if c == "text" else F.when(F.col("id").isNull(), F.col(c)).otherwise(F.length("rest")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    """Drops documents that repeat as a whole, then takes repeated chunks of lines out of the texts. A document of which
+    nothing is left goes; one that was empty before stays. n_chars follows the text."""
+    own = without_copies(docs)
+    return line_dedup.rewrite(own, line_dedup.repeated_chunks(own), length_col="n_chars")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """Drops the documents with the text of a smaller id, byte for byte; null and empty texts stay. All chunks of such a
-    document are repeats, so new_lines leaves the same of all others as it does with the copies there."""
-    rows = docs.where("doc_id is not null and text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"))
+    document are repeats, so the same is left of all others, but a one-line chunk of a copy would stay as a stub that no
+    later stage can tell from a document."""
+    digest = F.sha2("text", 256)
+    rows = docs.where("doc_id is not null and text <> ''").select("doc_id", digest.alias("digest"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    gone = rows.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = rows.join(firsts, "digest").where("doc_id > first").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (digest == F.col("__digest")), "left_anti")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates."""
+    """Keeps the document with the smallest id of each class of near duplicates. Rows with equal ids go together, if each
+    of them has a smaller one in its class."""
     classes = ngram_join.classes(docs, n=5, percent=80)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = classes.groupBy("doc_id").agg(F.max("component_id").alias("last")).where("last < doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; rows with equal ids go together."""
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
@@ -69,7 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        if stage is new_lines:  # it would leave stubs of copies, which the join can't tell from other documents
-            docs = keep(without_copies(docs), "exact-copies")
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
