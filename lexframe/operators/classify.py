@@ -16,6 +16,10 @@ from lexframe.functions import lexicon as lx
 from lexframe.functions.textcols import ngrams, word_tokens
 
 
+#: Parts in which a vocabulary is ranked before all of it is.
+RANK_PARTS = 64
+
+
 @dataclass(frozen=True)
 class Params:
     """Of the vectors and the classifier."""
@@ -46,8 +50,10 @@ def vocabulary(terms: DataFrame, members: DataFrame, params: Params = Params())
     df = terms.join(members, "doc_id").groupBy("fold", "term").agg(F.count("*").alias("df"))
     most = F.greatest(F.lit(1), F.floor(F.lit(params.max_df_ratio) * F.col("docs")))
     kept = df.join(F.broadcast(sizes), "fold").where((F.col("df") >= params.min_df) & (F.col("df") <= most))
-    w = Window.partitionBy("fold").orderBy(F.desc("df"), "term")
-    kept = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= params.max_features)
+    # The first of each of many parts hold the first of all, so no task ranks a whole vocabulary.
+    order = (F.desc("df"), "term")
+    for keys in (("fold", F.pmod(F.xxhash64("term"), F.lit(RANK_PARTS))), ("fold",)):
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= params.max_features)
     return kept.select("fold", "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -139,12 +145,28 @@ def metrics(pairs: DataFrame) -> DataFrame:
     return own.groupBy("fold").agg((F.sum("tp") / n).alias("accuracy"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"), n.alias("n"))
 
 
+def metrics_text(pairs: DataFrame) -> DataFrame:
+    """(fold, text): accuracy and F1, then a line for each class by name. Pairs: (fold, label, predicted)."""
+    own = class_metrics(confusion(pairs))
+    line = F.format_string("%-20s %10.4f %10.4f %10.4f %10d", "label", "precision", "recall", "f1", "support")
+    lines = own.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"]).alias("lines"))  # one a class
+    head = F.array(F.format_string("Accuracy: %.2f%%", F.col("accuracy") * 100), F.format_string("Macro F1: %.4f", "macro_f1"), F.format_string("Weighted F1: %.4f", "weighted_f1"), F.lit(""), F.lit(f"{'Class':<20} {'Precision':>10} {'Recall':>10} {'F1':>10} {'Support':>10}"), F.lit("-" * 62))
+    return metrics(pairs).join(lines, "fold").select("fold", F.array_join(F.concat(head, "lines"), "\n").alias("text"))
+
+
 def stratified_folds(labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(doc_id, label, fold): each class dealt to k folds in turn, in the order of a hash of seed and id."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    w = Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "doc_id")
-    return labels.select("doc_id", "label", F.pmod(F.row_number().over(w) - 1, F.lit(k)).alias("fold"))
+    # Rows are ranked within 4,096 parts in the order of the hash, and counts of the parts before are added: a class is
+    # never one task.
+    rows = labels.select("doc_id", "label", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))).alias("hash")).withColumn("part", F.substring("hash", 1, 3))
+    sizes = rows.groupBy("label", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("label", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("label", "part").orderBy("hash", "doc_id")) - 1
+    ranked = rows.withColumn("rank", rank).join(starts, ["label", "part"])
+    return ranked.select("doc_id", "label", F.pmod(F.col("start") + F.col("rank"), F.lit(k)).cast("int").alias("fold"))
 
 
 def cross_validated(docs: DataFrame, labels: DataFrame, k: int = 3, params: Params = Params(), seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from lexframe.functions import lexicon as lx
 from lexframe.functions.textcols import any_of, diff_tokens, strip, title
 from lexframe.operators.clauses import best_per_type, clauses
 from lexframe.operators.entities import entities
+from lexframe.operators.risks import risks, scores
 
 DELTA_TYPES = ("party", "date", "money", "duration")
 
@@ -98,3 +99,10 @@ def _summary_rows(totals: DataFrame, lists: DataFrame, changed: DataFrame, name_
     head = F.array(F.lit(f"Contract Comparison: {name_a} vs {name_b}"), F.concat(F.lit("Overall similarity: "), percent(F.col("overall_similarity"))), F.lit(""), F.col("counts"), named("removed", "Removed"), named("added", "Added"))
     none = F.array().cast("array<string>")
     return rows.select("doc_id", F.array_join(F.concat(F.array_compact(head), F.coalesce(F.transform("modified", lambda x: x["x"]), none), F.coalesce("changed", none)), "\n").alias("summary"))
+
+
+def risk_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, risk_delta, score_delta): risk_delta is 0 throughout, as results of a comparison have it; score_delta is
+    how much the risk score grew from a to b."""
+    sides = [scores(d, risks(d)).select("doc_id", F.col("risk_score").alias(s)) for d, s in ((a, "a"), (b, "b"))]
+    return sides[0].join(sides[1], "doc_id").select("doc_id", F.lit(0.0).alias("risk_delta"), (F.col("b") - F.col("a")).alias("score_delta"))

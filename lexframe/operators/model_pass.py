@@ -28,7 +28,7 @@ PROMPTS = {
 }
 
 
-def routes(docs: DataFrame, depth: str = "Standard", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def routes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, est_tokens, route, prompt_chars): whether a text goes whole, cut to MOST_CHARS, or in chunks."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = estimated_tokens(text)

@@ -68,3 +68,41 @@ def as_json(rows: DataFrame) -> DataFrame:
 def excerpt(text: Column, most: int = 120) -> Column:
     """The beginning of a text on one line, with a sign that it goes on."""
     return F.concat(F.replace(F.substring(text, 1, most), F.lit("\n"), F.lit(" ")), F.when(F.length(text) > most, "...").otherwise(""))
+
+
+def entity_table(entities: DataFrame, most: int = 30, width: int = 80) -> DataFrame:
+    """(doc_id, row, type, text, page): the first entities of each document in their order, and one row more that says
+    how many are left out. Entities: rows of `entities`, with a page where there is one."""
+    page = F.coalesce(F.col("page").cast("string"), F.lit("-")) if "page" in entities.columns else F.lit("-")
+    own = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("type_ord", "pattern_ord", "start_char", "text", title(F.col("entity_type")).alias("type"), page.alias("page")))).alias("e"))  # the entities of one document
+    shown = F.transform(F.slice("e", 1, most), lambda e: F.struct(e["type"].alias("type"), F.substring(e["text"], 1, width).alias("text"), e["page"].alias("page")))
+    more = F.array(F.struct(F.lit("...").alias("type"), F.concat(F.lit("("), (F.size("e") - most).cast("string"), F.lit(" more)")).alias("text"), F.lit("").alias("page")))
+    rows = own.select("doc_id", F.posexplode(F.when(F.size("e") > most, F.concat(shown, more)).otherwise(shown)).alias("row", "x"))
+    return rows.select("doc_id", (F.col("row") + 1).alias("row"), "x.type", "x.text", "x.page")
+
+
+def summary_json(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """(doc_id, json) of `results` and risk scores: name, summary, score as it is, and numbers of clauses and entities."""
+    said = report(rows).withColumnRenamed("report", "summary")
+    shaped = F.struct("filename", "summary", "risk_score", F.size("clauses").alias("clause_count"), F.size("entities").alias("entity_count"))
+    return rows.join(said, "doc_id").join(scored.select("doc_id", "risk_score"), "doc_id").select("doc_id", F.to_json(shaped, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def _or(column: str, other: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(other))
+
+
+def batch_table(answers: DataFrame) -> DataFrame:
+    """(file, type, risk, parties, clauses, flags) of merged answers with a column file_name."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return answers.select(_or("file_name", "Unknown").alias("file"), _or("contract_type", "N/A").alias("type"), _or("overall_risk", "N/A").alias("risk"), n("parties").alias("parties"), n("key_clauses").alias("clauses"), n("risk_flags").alias("flags"))
+
+
+def markdown(answers: DataFrame) -> DataFrame:
+    """(file, markdown) of merged answers with a column file_name."""
+    item = lambda x, name, other: F.coalesce(x[name], F.lit(other))
+    parties = F.transform("parties", lambda x: F.concat(F.lit("- "), item(x, "name", "Unknown"), F.lit(" ("), item(x, "role", "N/A"), F.lit(")")))
+    found = F.transform("key_clauses", lambda x: F.concat(F.lit("- **"), item(x, "type", "Clause"), F.lit("** (Risk: "), item(x, "risk_level", "Low"), F.lit("): "), item(x, "summary", "")))
+    listed = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit(""))
+    text = F.concat(F.lit("# Legal Document Analysis Report\n\n## Document Type: "), _or("contract_type", "Unknown"), F.lit("\n## Overall Risk: "), _or("overall_risk", "Medium"), F.lit("\n\n### Summary\n"), _or("plain_summary", "N/A"), F.lit("\n\n### Parties\n"), listed(parties), F.lit("\n\n### Key Clauses\n"), listed(found), F.lit("\n"))
+    return answers.select(_or("file_name", "Unknown").alias("file"), text.alias("markdown"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions import lexicon as lx
@@ -12,53 +12,67 @@ from lexframe.operators.clauses import clauses
 SEVERITY = {"high": 0, "medium": 1, "low": 2, "info": 3}
 
 
-def _row(rule: int, level: str, category: str, description: Column | str, suggestion: Column | str, seq: Column | None = None) -> list[Column]:
+_RISK = "struct<rule_ord: int, severity: int, level: string, category: string, description: string, suggestion: string, clause_seq: int, part: int>"
+
+
+def _row(rule: int, level: str, category: str, description: Column | str, suggestion: Column | str, seq: Column | None = None, part: int = 0) -> Column:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return [F.lit(rule).alias("rule_ord"), F.lit(SEVERITY[level]).alias("severity"), F.lit(level).alias("level"), F.lit(category).alias("category"), text(description).alias("description"), text(suggestion).alias("suggestion"), (F.lit(None) if seq is None else seq).cast("int").alias("clause_seq")]
+    return F.struct(F.lit(rule).alias("rule_ord"), F.lit(SEVERITY[level]).alias("severity"), F.lit(level).alias("level"), F.lit(category).alias("category"), text(description).alias("description"), text(suggestion).alias("suggestion"), (F.lit(None) if seq is None else seq).cast("int").alias("clause_seq"), F.lit(part).alias("part")).cast(_RISK)
 
 
-def _names(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
-    """A handful of names, with their place."""
-    return F.broadcast(spark.createDataFrame(list(enumerate(names)), "part int, name string"))
+# Fixed values: (rule, level, clause type, words that limit it, category, description, suggestion).
+CLAUSE_RULES = (
+    (3, "high", "liability", lx.LIABILITY_CAPS, "unlimited_liability", "Liability clause found but no cap or limit is specified.", "Add a specific liability cap (e.g., 'not to exceed the total fees paid')."),
+    (4, "medium", "indemnification", lx.MUTUAL, "one_sided_indemnity", "Indemnification appears to be one-sided rather than mutual.", "Consider negotiating mutual indemnification provisions."),
+    (8, "high", "non_compete", lx.NON_COMPETE_LIMITS, "broad_non_compete", "Non-compete clause may lack geographic or temporal boundaries.", "Ensure non-compete has reasonable geographic scope and time limitation."),
+)
 
 
 def risks_from(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule_ord, severity, level, category, description, suggestion, clause_seq, part) of nine rules over the
-    clauses and texts. The only shuffle is that of distinct (document, type) pairs for what is missing."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lower"))
-    have = found.select("doc_id", F.col("clause_type").alias("name")).distinct()
-    words, lower = F.replace(F.col("name"), F.lit("_"), F.lit(" ")), F.col("lower")
-    parts = []
-    for rule, level, names, described, advised in (
-        (1, "high", lx.ESSENTIAL, lambda t: F.concat(F.lit("Missing essential clause: "), t, F.lit(". This clause is typically required in commercial contracts.")), lambda w: F.concat(F.lit("Add a "), w, F.lit(" clause to the agreement."))),
-        (2, "low", lx.RECOMMENDED, lambda t: F.concat(F.lit("Missing recommended clause: "), t, F.lit(".")), lambda w: F.concat(F.lit("Consider adding a "), w, F.lit(" clause."))),
-    ):
-        every = rows.select("doc_id").crossJoin(_names(docs.sparkSession, names))  # each document with four or five names
-        missing = every.join(have, ["doc_id", "name"], "left_anti")
-        parts.append(missing.select("doc_id", *_row(rule, level, "missing_clause", described(title(F.col("name"))), advised(words)), "part"))
-
-    body, seq, zero = F.lower("text"), F.col("seq"), F.lit(0).alias("part")
-    for rule, level, kind, limits, category, description, suggestion in (
-        (3, "high", "liability", lx.LIABILITY_CAPS, "unlimited_liability", "Liability clause found but no cap or limit is specified.", "Add a specific liability cap (e.g., 'not to exceed the total fees paid')."),
-        (4, "medium", "indemnification", lx.MUTUAL, "one_sided_indemnity", "Indemnification appears to be one-sided rather than mutual.", "Consider negotiating mutual indemnification provisions."),
-        (8, "high", "non_compete", lx.NON_COMPETE_LIMITS, "broad_non_compete", "Non-compete clause may lack geographic or temporal boundaries.", "Ensure non-compete has reasonable geographic scope and time limitation."),
-    ):
-        parts.append(found.where((F.col("clause_type") == kind) & ~any_of(body, limits)).select("doc_id", *_row(rule, level, category, description, suggestion, seq), zero))
-
-    for rule, level, test, category, description, suggestion in (
-        (5, "medium", F.rlike(lower, F.lit("(?U)" + "|".join(lx.AUTO_RENEWAL))), "auto_renewal", "Contract contains automatic renewal provisions.", "Ensure adequate notice period for non-renewal and clear opt-out mechanism."),
-        (6, "medium", F.rlike(lower, F.lit("(?U)" + lx.UNILATERAL)), "unilateral_termination", "One party may terminate without cause or for convenience.", "Ensure termination for convenience is mutual or negotiate adequate notice period."),
-        (7, "high", any_of(lower, lx.BROAD_IP) & ~any_of(lower, lx.IP_LIMITS), "broad_ip_assignment", "Broad IP assignment without clear scope limitation.", "Limit IP assignment to work product created specifically under this agreement."),
-    ):
-        parts.append(rows.where(test).select("doc_id", *_row(rule, level, category, description, suggestion), zero))
-    n = hits(lower, lx.AMBIGUOUS)
-    described = F.concat(F.lit("Document contains "), n.cast("string"), F.lit(" potentially ambiguous phrases (e.g., 'reasonable efforts', 'best efforts')."))
-    parts.append(rows.where(n >= 2).select("doc_id", *_row(9, "low", "ambiguous_language", described, "Consider defining ambiguous terms or replacing with specific criteria."), zero))
-
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    clauses and texts.
+
+    Clauses and texts are read once each: the types of a document and its clauses that break a rule become arrays in one
+    aggregation, and all rules are array expressions over the row of the document. No text is shuffled.
+    """
+    lower, body = F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lower("text")
+    broken = F.coalesce(*[F.when((F.col("clause_type") == kind) & ~any_of(body, limits), rule) for rule, _, kind, limits, *_ in CLAUSE_RULES])
+    own = found.select("doc_id", "clause_type", "seq", broken.alias("rule")).groupBy("doc_id").agg(F.collect_set("clause_type").alias("types"), F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "seq"))).alias("broken"))  # the clauses of one document
+    flags = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.rlike(lower, F.lit("(?U)" + "|".join(lx.AUTO_RENEWAL))).alias("renews"),
+        F.rlike(lower, F.lit("(?U)" + lx.UNILATERAL)).alias("unilateral"),
+        (any_of(lower, lx.BROAD_IP) & ~any_of(lower, lx.IP_LIMITS)).alias("broad_ip"),
+        hits(lower, lx.AMBIGUOUS).alias("vague"),
+    )
+    rows = flags.join(own, "doc_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+    single = []
+    # Levels, categories, descriptions and suggestions.
+    for rule, level, names, before, after, advised in ((1, "high", lx.ESSENTIAL, "Missing essential clause: ", ". This clause is typically required in commercial contracts.", "Add a {} clause to the agreement."), (2, "low", lx.RECOMMENDED, "Missing recommended clause: ", ".", "Consider adding a {} clause.")):
+        for part, name in enumerate(names):
+            described = F.concat(F.lit(before), title(F.lit(name)), F.lit(after))
+            single.append(F.when(~F.array_contains("types", name), _row(rule, level, "missing_clause", described, advised.format(name.replace("_", " ")), part=part)))
+    single += [
+        F.when(F.col("renews"), _row(5, "medium", "auto_renewal", "Contract contains automatic renewal provisions.", "Ensure adequate notice period for non-renewal and clear opt-out mechanism.")),
+        F.when(F.col("unilateral"), _row(6, "medium", "unilateral_termination", "One party may terminate without cause or for convenience.", "Ensure termination for convenience is mutual or negotiate adequate notice period.")),
+        F.when(F.col("broad_ip"), _row(7, "high", "broad_ip_assignment", "Broad IP assignment without clear scope limitation.", "Limit IP assignment to work product created specifically under this agreement.")),
+        F.when(F.col("vague") >= 2, _row(9, "low", "ambiguous_language", F.concat(F.lit("Document contains "), F.col("vague").cast("string"), F.lit(" potentially ambiguous phrases (e.g., 'reasonable efforts', 'best efforts').")), "Consider defining ambiguous terms or replacing with specific criteria.")),
+    ]
+
+    def clause_row(x: Column) -> Column:
+        out = None
+        for rule, level, _, _, category, description, suggestion in CLAUSE_RULES:
+            row = _row(rule, level, category, description, suggestion, x["seq"])
+            out = F.when(x["rule"] == rule, row) if out is None else out.when(x["rule"] == rule, row)
+        return out
+
+    every = F.concat(F.array_compact(F.array(*single)), F.coalesce(F.transform("broken", clause_row), F.array().cast(f"array<{_RISK}>")))
+    return rows.select("doc_id", F.explode(every).alias("r")).select("doc_id", "r.*")
+
+
+def risky(annotated_rows: DataFrame) -> DataFrame:
+    """The clauses whose risk is high or medium, of `annotated` ones."""
+    return annotated_rows.where(F.col("risk_level").isin("high", "medium"))
 
 
 def risks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

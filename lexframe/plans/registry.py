@@ -13,7 +13,7 @@ from lexframe.operators import chunking, classify, compare, entities, model_pass
 from lexframe.operators import clauses as cl
 from lexframe.plans import sql as s
 from lexframe.sources import files
-from lexframe.sources.contracts import contracts, contracts_sql
+from lexframe.sources.contracts import contracts, contracts_sql, dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,17 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Rows dealt over all cores: one file with few row groups would otherwise be one task for the regexes."""
-    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "doc_id")
-
-
 def C(spark: SparkSession, sf_dir: str, shift: int = 0, paged: bool = False) -> DataFrame:
-    return spread(contracts(spark, sf_dir, shift, paged))
+    return contracts(spark, sf_dir, shift, paged)
 
 
 def D(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def L(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -108,11 +103,41 @@ def docx_paging(spark, sf_dir):
     return files.paragraph_pages(rows)
 
 
-@add("html_text")
+def _html_sql(c: str) -> str:
+    for pattern, new in files.HTML_RULES:
+        c = f"regexp_replace({c}, {s.q(pattern.replace('$', chr(92) + 'z'))}, {'chr(10)' if new else s.q('')}, 'g')"
+    for _ in range(2):  # the entities that the pages hold; & comes last, so that each turn decodes once
+        for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            c = f"replace({c}, {s.q(name)}, {s.q(char)})"
+    return s.strip(rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@add("html_text", f"select page_id, {_html_sql('html')} as text from pages")
 def html_text(spark, sf_dir):
     return files.html_text(table(spark, sf_dir, "pages"))
 
 
+_NAMES = "'f' || page_id || (['.PDF', '.docx', '.txt', '.html', ''])[1 + page_id % 5]"
+_MIMES = "(['application/pdf', 'text/plain', 'application/octet-stream', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'])[1 + page_id % 4]"
+
+
+@add("upload_dispatch", f"select page_id, name, mime, case when mime = 'application/pdf' or ends_with(lower(name), '.pdf') then 'pdf' when contains(mime, 'wordprocessingml') or ends_with(lower(name), '.docx') then 'docx' when mime = 'text/plain' or ends_with(lower(name), '.txt') then 'text' end as format from (select page_id, {_NAMES} as name, {_MIMES} as mime from pages)")
+def upload_dispatch(spark, sf_dir):
+    at = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("page_id") % n + 1).cast("int"))
+    name = F.concat(F.lit("f"), F.col("page_id").cast("string"), at((".PDF", ".docx", ".txt", ".html", ""), 5))
+    mime = at(("application/pdf", "text/plain", "application/octet-stream", files.MIME_TYPES["docx"]), 4)
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), mime.alias("mime"))
+    return rows.select("page_id", "name", "mime", files.upload_format(F.col("name"), F.col("mime")).alias("format"))
+
+
+@add("strict_utf8", "select doc_id, doc_id % 7 <> 0 as valid, case when doc_id % 7 <> 0 then md5(coalesce(text, '')) end as text_md5 from documents")
+def strict_utf8(spark, sf_dir):
+    """Every seventh text with a byte more that is not UTF-8."""
+    rows = D(spark, sf_dir).select("doc_id", F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("E9"))).otherwise(F.unhex(F.lit("")))).alias("content"))
+    text_ = files.strict_text(F.col("content"), strict=False)
+    return rows.select("doc_id", text_.isNotNull().alias("valid"), F.md5(text_).alias("text_md5"))
+
+
 # Sections and clauses --------------------------------------------------------------------------------------------------
 
 _LEX = " union all ".join(f"select {k} as ord, {s.q(p.name)} as clause_type, {len(p.headings)} as n_headings, {len(p.keywords)} as n_keywords, {p.hits} as min_hits" for k, p in enumerate(lx.CLAUSES, 1))
@@ -134,7 +159,12 @@ _PAR = {
 }
 
 
-@add("paragraph_sections")
+_PAR["pn"] = "select doc_id, i, t, last, sum(length(t)) over (partition by doc_id order by i) as upto from pr"
+_PAR["pm"] = "select doc_id, 0 as i, t as acc, t, last, (length(t) >= 100 or t = last) as done, 0 as section, 0 as start_char, 1 as x from pr where i = 0 union all select p.doc_id, p.i, case when m.done then p.t else m.acc || chr(10) || chr(10) || p.t end, p.t, p.last, length(case when m.done then p.t else m.acc || chr(10) || chr(10) || p.t end) >= 100 or p.t = p.last, case when m.done then m.section + 1 else m.section end, case when m.done then p.i else m.start_char end, 1 from pm m join pr p on p.doc_id = m.doc_id and p.i = m.i + 1"
+_PAR["po"] = "select pr.doc_id, pr.i, (coalesce(sum(length(t)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) + i)::int as a from pr"
+
+
+@add("paragraph_sections", s.with_("select m.doc_id, m.section::int as section, f.a as start_char, (l.a + length(m.t))::int as end_char, m.acc as text from pm m join po f on f.doc_id = m.doc_id and f.i = m.start_char join po l on l.doc_id = m.doc_id and l.i = m.i where m.done", **_PAR).replace("with ", "with recursive ", 1))
 def paragraph_sections(spark, sf_dir):
     """Texts without headings, with a blank line after each sentence."""
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
@@ -284,6 +314,13 @@ def clauses_annotated(spark, sf_dir):
     return risks.annotated(found, risks.risks_from(found, docs)).select("doc_id", "seq", "clause_type", "risk_level", "risk_reason")
 
 
+@add("risky_clauses", s.with_("select cl.doc_id, seq::int as seq, clause_type, level as risk_level from cl join la on cl.doc_id = la.doc_id and cl.seq = la.clause_seq where level in ('high', 'medium')", **_ANN))
+def risky_clauses(spark, sf_dir):
+    docs = C(spark, sf_dir)
+    found = cl.clauses(docs)
+    return risks.risky(risks.annotated(found, risks.risks_from(found, docs))).select("doc_id", "seq", "clause_type", "risk_level")
+
+
 _WEIGHT = "case level " + " ".join(f"when {s.q(k)} then {v}::double" for k, v in lx.RISK_WEIGHTS.items()) + " end"
 _SCORE = _RK | {"rs": f"select c.doc_id, count(rk.doc_id) as n_risks, coalesce(avg({_WEIGHT}), 0) as risk_score from c left join rk on c.doc_id = rk.doc_id group by c.doc_id"}
 
@@ -294,6 +331,15 @@ def risk_score(spark, sf_dir):
     return risks.scores(docs, risks.risks(docs)).select("doc_id", "n_risks", *r6("risk_score"))
 
 
+_DELTAS = {"c": contracts_sql(0), "c1": contracts_sql(1), **s.clauses("c", "a_"), **s.clauses("c1", "b_"), "ra": s.risk_rows("c", "a_cl")["rk"], "rb": s.risk_rows("c1", "b_cl")["rk"]}
+_MEAN = lambda t: f"(select coalesce(avg({_WEIGHT}), 0) from {t} where {t}.doc_id = c.doc_id)"
+
+
+@add("risk_delta", s.with_(f"select c.doc_id, 0::double as risk_delta, round({_MEAN('rb')} - {_MEAN('ra')} + 1e-9, 6) as score_delta from c", **_DELTAS))
+def risk_delta(spark, sf_dir):
+    return compare.risk_deltas(C(spark, sf_dir), C(spark, sf_dir, 1)).select("doc_id", "risk_delta", *r6("score_delta"))
+
+
 _BAND = "case when risk_score > 0.7 then 'red' when risk_score > 0.3 then 'yellow' else 'green' end"
 
 
@@ -331,20 +377,50 @@ _REPORT = _RK | s.entities() | {
 }
 
 
-@add("report_text", s.with_(
+_REPORT_SELECT = (
     "select c.doc_id, 'Document: ' || c.doc_id || ' (1 page(s))' || chr(10) || chr(10) || coalesce('Parties: ' || p.names || chr(10), '') || coalesce('Key Dates: ' || d.names || chr(10), '') || coalesce('Values: ' || m.names || chr(10), '') || chr(10)"
     " || coalesce('Clauses Identified (' || total || ' total):' || chr(10) || lines, 'No standard clauses identified.') || chr(10) || chr(10)"
     " || case when high is not null or medium is not null then 'Risk Assessment:' || coalesce(chr(10) || high, '') || coalesce(chr(10) || medium, '') || case when low > 0 then chr(10) || '  🟢 ' || low || ' low-risk item(s)' else '' end else 'Risk Assessment: No significant risks detected.' end as report"
-    " from c left join e5 p on c.doc_id = p.doc_id and p.entity_type = 'party' left join e5 d on c.doc_id = d.doc_id and d.entity_type = 'date' left join e5 m on c.doc_id = m.doc_id and m.entity_type = 'money' left join ct on c.doc_id = ct.doc_id left join rl on c.doc_id = rl.doc_id", **_REPORT))
+    " from c left join e5 p on c.doc_id = p.doc_id and p.entity_type = 'party' left join e5 d on c.doc_id = d.doc_id and d.entity_type = 'date' left join e5 m on c.doc_id = m.doc_id and m.entity_type = 'money' left join ct on c.doc_id = ct.doc_id left join rl on c.doc_id = rl.doc_id"
+)
+
+
+@add("report_text", s.with_(_REPORT_SELECT, **_REPORT))
 def report_text(spark, sf_dir):
     return report.report(_results(spark, sf_dir))
 
 
-@add("result_json")
+_JSON = _RK | s.entities() | {
+    "ro": f"select *, {s.RISK_ORDER} as ord from rk",
+    "jc": "select doc_id, list({'type': clause_type, 'text': text, 'confidence': round(confidence, 3)} order by start_char, seq) as l from cl group by doc_id",
+    "je": "select doc_id, list({'type': entity_type, 'text': text, 'normalized': normalized, 'confidence': round(confidence, 3)} order by type_ord, pattern_ord, start_char, text) as l from ent group by doc_id",
+    "jr": "select doc_id, list({'level': level, 'category': category, 'description': description, 'suggestion': suggestion} order by ord) as l from ro group by doc_id",
+}
+
+
+@add("result_json", s.with_("select c.doc_id, to_json({'filename': c.doc_id::varchar, 'clauses': coalesce(jc.l, []), 'entities': coalesce(je.l, []), 'risks': coalesce(jr.l, [])})::varchar as json from c left join jc using (doc_id) left join je using (doc_id) left join jr using (doc_id)", **_JSON))
 def result_json(spark, sf_dir):
     return report.as_json(_results(spark, sf_dir))
 
 
+_ETAB = s.CONTRACTS | s.entities() | {"en": f"select doc_id, {s.title('entity_type')} as type, text, row_number() over (partition by doc_id order by type_ord, pattern_ord, start_char, text) as rn, count(*) over (partition by doc_id) as total from ent"}
+
+
+@add("entity_table", s.with_("select doc_id, rn::int as row, type, text[1:80] as text, '-' as page from en where rn <= 6 union all select doc_id, 7, '...', '(' || (total - 6) || ' more)', '' from en where rn = 7", **_ETAB))
+def entity_table(spark, sf_dir):
+    return report.entity_table(entities.entities(C(spark, sf_dir)), most=6)
+
+
+_SJ = _REPORT | {"rp": _REPORT_SELECT, "rs": _SCORE["rs"]}
+
+
+@add("summary_json", s.with_("select rp.doc_id, to_json({'filename': rp.doc_id::varchar, 'summary': report, 'risk_score': round(risk_score, 9), 'clause_count': (select count(*) from cl where cl.doc_id = rp.doc_id), 'entity_count': (select count(*) from ent where ent.doc_id = rp.doc_id)})::varchar as json from rp join rs using (doc_id)", **_SJ))
+def summary_json(spark, sf_dir):
+    docs = C(spark, sf_dir)
+    scored = risks.scores(docs, risks.risks(docs)).withColumn("risk_score", F.round("risk_score", 9))  # the order of a sum decides nothing
+    return report.summary_json(_results(spark, sf_dir), scored)
+
+
 @add("doc_stats", s.with_("select c.doc_id, 1::bigint as page_count, length(c.text)::bigint as char_count, (select count(*) from cl where cl.doc_id = c.doc_id) as clause_count, (select count(*) from ent where ent.doc_id = c.doc_id) as entity_count, (select count(*) from rk where rk.doc_id = c.doc_id) as risk_count from c", **_RK, **s.entities()))
 def doc_stats(spark, sf_dir):
     docs = C(spark, sf_dir)
@@ -438,7 +514,18 @@ def est_tokens(spark, sf_dir):
     return D(spark, sf_dir).select("doc_id", chunking.estimated_tokens(F.col("text")).alias("n"))
 
 
-@add("chunks")
+def _chunk_sql(size: int, overlap: int) -> str:
+    """The window of each step, and after the last mark of it in its second half the end of the chunk."""
+    char = lambda x: "chr(10)" if x == "\n" else s.q(x)
+    marks = [f"{char(x[1])} || {char(x[0])}" for x in ("\n\n", *chunking.ENDS)]  # read from the end
+    at = lambda back: f"(case when instr(r, {back}) > 0 then length(w) - instr(r, {back}) - 1 else -1 end)"
+    ends = " ".join(f"when {at(back)} > {size // 2} then a + {at(back)} + 2" for back in marks)
+    step = f"select doc_id, text, k, a, case when a + {size} >= length(text) then a + {size} {ends} else a + {size} end as b from (select *, text[a + 1:a + {size}] as w, reverse(text[a + 1:a + {size}]) as r from {{}})"
+    first, later = step.format("(select doc_id, text, 0 as k, 0 as a from d where length(text) > %d)" % size), step.format(f"(select doc_id, text, k + 1 as k, b - {overlap} as a from ch where b - {overlap} < length(text))")
+    return f"with recursive d as (select doc_id, coalesce(text, '') as text from documents), ch as ({first} union all {later}) select doc_id, k::int as chunk, {s.strip('text[a + 1:b]')} as text from ch union all select doc_id, 0, text from d where length(text) <= {size}"
+
+
+@add("chunks", _chunk_sql(4000, 200))
 def chunks(spark, sf_dir):
     return chunking.chunks(D(spark, sf_dir))
 
@@ -731,6 +818,11 @@ def class_metrics(spark, sf_dir):
     return classify.class_metrics(classify.confusion(_Fit(spark, sf_dir).pairs())).select("label", *r6("precision", "recall", "f1"), "support")
 
 
+@add("metrics_text", s.with_("select 'Accuracy: ' || printf('%.2f', accuracy * 100) || '%' || chr(10) || 'Macro F1: ' || printf('%.4f', macro_f1) || chr(10) || 'Weighted F1: ' || printf('%.4f', weighted_f1) || chr(10) || chr(10) || printf('%-20s %10s %10s %10s %10s', 'Class', 'Precision', 'Recall', 'F1', 'Support') || chr(10) || repeat('-', 62) || chr(10) || (select string_agg(printf('%-20s %10.4f %10.4f %10.4f %10d', label, precision, recall, f1, support::bigint), chr(10) order by label) from cg) as text from mt", **_M1, **_ME))
+def metrics_text(spark, sf_dir):
+    return classify.metrics_text(_Fit(spark, sf_dir).pairs()).select("text")
+
+
 _KF = "select doc_id, label, ((row_number() over (partition by label order by md5('42:' || doc_id), doc_id) - 1) % 3)::int as fold from lb"
 
 
@@ -783,6 +875,33 @@ def llm_parse(spark, sf_dir):
     return _answers(spark).select("doc_id", "chunk", a["contract_type"].alias("contract_type"), a["overall_risk"].alias("overall_risk"), F.when(a["parties"].isNotNull(), F.size(a["parties"])).alias("n_parties"), a["plain_summary"].alias("plain_summary"))
 
 
+_FILES = "select doc_id, 'doc' || doc_id || '.txt' as file, (['Lease', 'License', 'Service'])[1 + doc_id % 3] as type, (['Low', 'Medium', 'High'])[1 + doc_id % 3] as risk, (1 + doc_id % 4) as np, (doc_id % 3) as nc, (doc_id % 2) as nf, md5(coalesce(text, '')) as said from documents"
+
+
+def _file_answers(spark, sf_dir) -> DataFrame:
+    """Answers made up from the documents, parsed and merged, with names of files."""
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    some = lambda n, f: F.transform(F.slice(F.array(*[F.lit(k) for k in range(4)]), 1, n.cast("int")), f)
+    named = lambda pre, k: F.concat(F.lit(pre), k.cast("string"))
+    said = F.struct(
+        pick("Lease", "License", "Service").alias("contract_type"), pick("Low", "Medium", "High").alias("overall_risk"), some(F.col("doc_id") % 4 + 1, lambda k: F.struct(named("P", k).alias("name"), F.lit("side").alias("role"))).alias("parties"),
+        some(F.col("doc_id") % 3, lambda k: F.struct(named("t", k).alias("type"), named("s", k).alias("summary"), F.lit("Low").alias("risk_level"))).alias("key_clauses"), some(F.col("doc_id") % 2, lambda k: F.struct(F.lit("High").alias("severity"), named("i", k).alias("issue"), F.lit("").alias("recommendation"))).alias("risk_flags"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("plain_summary"),
+    )
+    rows = D(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk"), model_pass.parsed(F.concat(F.lit("```json\n"), F.to_json(said), F.lit("\n```"))).alias("answer"))
+    return model_pass.merged(rows).withColumn("file_name", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+@add("batch_table", f"select file, type, risk, np as parties, nc as clauses, nf as flags from ({_FILES})")
+def batch_table(spark, sf_dir):
+    return report.batch_table(_file_answers(spark, sf_dir))
+
+
+@add("markdown_export", f"select file, '# Legal Document Analysis Report' || chr(10) || chr(10) || '## Document Type: ' || type || chr(10) || '## Overall Risk: ' || risk || chr(10) || chr(10) || '### Summary' || chr(10) || said || chr(10) || chr(10) || '### Parties' || chr(10) || array_to_string(list_transform(range(0, np), lambda k: '- P' || k || ' (side)'), chr(10)) || chr(10) || chr(10) || '### Key Clauses' || chr(10) || array_to_string(list_transform(range(0, nc), lambda k: '- **t' || k || '** (Risk: Low): s' || k), chr(10)) || chr(10) as markdown from ({_FILES})")
+def markdown_export(spark, sf_dir):
+    return report.markdown(_file_answers(spark, sf_dir))
+
+
 @add("llm_merge", "select * from (values (1, 'Lease', 'High', 'A,B,C', 'end=3,start=1', 'Texas', 'One. Two.'), (2, 'Unknown', 'Low', '', '', 'Unable to parse', 'no json at all'), (3, 'Unknown', 'Low', '', '', '', 'Three.')) v(doc_id, contract_type, overall_risk, names, dates, jurisdiction, plain_summary)")
 def llm_merge(spark, sf_dir):
     rows = model_pass.merged(_answers(spark))

@@ -65,6 +65,14 @@ def _text_sql(values: dict[str, str], newline: str, form_feed: str | None) -> st
     return f"concat({', '.join(parts)})"
 
 
+def dealt(rows: DataFrame, key: str, split: int = 32 << 20) -> DataFrame:
+    """The rows over all cores where the input is smaller than a split for each core; larger inputs are many splits
+    already and are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, key) if size < cores * split else rows
+
+
 def contracts(spark: SparkSession, sf_dir: str, shift: int = 0, paged: bool = False) -> DataFrame:
     """(doc_id, text): a contract for each order; `paged` puts a form feed before the sixth heading."""
     arr = lambda xs, i: f"element_at(array({', '.join(repr(x) for x in xs)}), cast(1 + {i} as int))"
@@ -79,6 +87,7 @@ def contracts(spark: SparkSession, sf_dir: str, shift: int = 0, paged: bool = Fa
     }
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    orders = dealt(orders, "o_orderkey")
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("k", F.col("o_orderkey") + shift)
     return rows.select(F.col("o_orderkey").alias("doc_id"), F.expr(_text_sql(values, "'\\n'", "chr(12)" if paged else None)).alias("text"))
 

@@ -1,6 +1,5 @@
-"""Registered queries against their SQL on the smallest tables. LEXFRAME_ALL=1 runs every one; else one of each kind."""
+"""Every registered query against its SQL on the smallest tables."""
 
-import os
 from collections import Counter
 from pathlib import Path
 
@@ -10,7 +9,6 @@ import pytest
 from lexframe.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SOME = "src_dispatch full_text offset_to_page sections clauses clauses_paged entities ner_all ner_dedup risks risk_bands report_text clean_text sentences tokens syllables readability doc_compare diff_notes entity_delta summary nb_predict cv_metrics llm_parse llm_merge".split()
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL) if os.environ.get("LEXFRAME_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, DIR)
     columns = sorted(got.columns)
