@@ -25,7 +25,7 @@ from lexframe.llm.kit import slices, texts
 #: Texts of more characters are cut into words one at a time, so that their words never exist all at once.
 LONG = 1 << 20
 #: Distinct words that a task remembers between slices; when there are more it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 
 
 class Ranks:

@@ -54,15 +54,16 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Writes a table.
-
-    Meanwhile, batches for Python have few rows (texts are long, and a batch exists several times over on both sides),
-    and Spark deletes the shuffle files of the plan when it has ended, since nothing needs them any more.
-    """
-    spark = df.sparkSession
+def frugal(spark: SparkSession):
+    """What runs inside has batches of few rows for Python (texts are long, and a batch exists several times over on both
+    sides), and Spark deletes the shuffle files of a plan when it has ended, since nothing needs them any more."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    with _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows if 0 < rows < BATCH_ROWS else BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows if 0 < rows < BATCH_ROWS else BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Writes a table in a `frugal` way."""
+    with frugal(df.sparkSession):
         df.write.parquet(path)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexframe.llm.components import components
-from lexframe.llm.kit import U64, drop, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
+from lexframe.llm.kit import U64, drop, frugal, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
 
 GROUPS, FINE, LEAF, TILE, SMALL = 32, 256, 32, 16_384, 64  # FINE is a multiple of GROUPS
 #: Documents of the sample by which shingles are ordered, how many of them make a shingle frequent, and how many of those are told apart.
@@ -197,7 +197,8 @@ def _frequent(rows: DataFrame, found: DataFrame, n: int) -> np.ndarray:
     total = found.count()
     sample = rows.sample(min(1.0, SAMPLE / max(1, total)), seed=5)
     names = sample.mapInArrow(counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    out = names.orderBy(F.desc("n"), "name").limit(MOST_FREQUENT).select("name").toArrow().column("name").to_numpy()
+    with frugal(rows.sparkSession):
+        out = names.orderBy(F.desc("n"), "name").limit(MOST_FREQUENT).select("name").toArrow().column("name").to_numpy()
     return np.sort(out.view(U64))
 
 
@@ -309,7 +310,7 @@ def _proposals(members: DataFrame, percent: int, ranges: int, turn: int | None)
             less = node[i] < node[j]
             have.append(np.stack([np.where(less, i, j), np.where(less, j, i)], 1))
             waiting += len(i)
-            if turn is not None and waiting > max(1 << 20, 8 * len(node)):
+            if turn is not None and waiting > max(1 << 18, 8 * len(node)):
                 have, pruned = [thinned(np.concatenate(have))], True
                 waiting = len(have[0])
         e = np.concatenate(have)

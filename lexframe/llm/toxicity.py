@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import U64, WORDS, mix, slices, texts
+from lexframe.llm.kit import U64, WORDS, frugal, mix, slices, texts
 
 BUCKETS = 1 << 18
 #: Upper bound of the number of labelled documents that training reads.
@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [bag(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([s.tobytes() for s, _, _ in found], pa.binary()), pa.array([b.tobytes() for _, b, _ in found], pa.binary())], ["doc_id", "y", "sentence", "bucket"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, sentence binary, bucket binary").toArrow().to_pylist()
+    with frugal(docs.sparkSession):
+        got = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, sentence binary, bucket binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["sentence"], r["bucket"]))  # the order of tasks must not change the weights
     total = max(1, sum(counts.values()))
     return fit([(r["y"], np.frombuffer(r["sentence"], np.int32), np.frombuffer(r["bucket"], np.int32)) for r in got], (counts.get(0, 0) / total, counts.get(1, 0) / total))
