@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: each stage works on all that the one before it kept.
 
 `run` writes what each stage returns as Parquet in the shared folder and reads it again as the documents of the next.
-All stages but the last return the columns of documents. Rows with null ids can't be told apart, so stages that remove
+All stages but the last return the columns of documents. A stage that hands texts to Python writes its own result, so
+that batches are small and the shuffles behind it are gone, whoever runs it. Rows with null ids can't be told apart, so stages that remove
 by id let them pass; empty tables give empty results.
 """
 
@@ -19,14 +20,14 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops the documents that score 0.5 or more; a null text scores like an empty one. The model learns from the
     labels of the table beside the documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+    return keep(toxicity.keep_clean(docs, toxicity.train(docs, labels)), "clean")
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that repeat as a whole, then takes repeated chunks of lines out of the texts. A document of which
     nothing is left goes; one that was empty before stays. n_chars follows the text."""
     own = without_copies(docs)
-    return line_dedup.rewrite(own, line_dedup.repeated_chunks(own), length_col="n_chars")
+    return keep(line_dedup.rewrite(own, line_dedup.repeated_chunks(own), length_col="n_chars"), "new-lines")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, text_sha256): digests of the ids and of the bytes that they decode to."""
     ranks = tokenizer("byte_bpe_50k.tiktoken")
     coded = bpe.decode(bpe.encode(docs, ranks, pattern()), ranks)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("text_sha256"))
+    return keep(coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("text_sha256")), "bpe-digests")
 
 
 STAGES = [("toxicity", clean_language), ("line dedup", new_lines), ("n-gram Jaccard join", one_of_each), ("benchmark decontamination", unseen), ("byte-level BPE", token_ids)]
@@ -70,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stage(spark, docs, sf_dir)
+        if not hasattr(docs, "_kept_at"):  # written by the stage itself
+            docs = keep(docs, name.replace(" ", "-"))
     return docs
