@@ -53,6 +53,13 @@ class Ranks:
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.merged[at], -1)
 
+    def text_of(self, ids: bytes) -> bytes:
+        """The bytes that little-endian unsigned 32-bit ids stand for."""
+        at = np.frombuffer(ids, dtype="<u4").astype(np.int64)
+        if len(at) and (at.max() >= self.stride or not self.length[at].all()):
+            raise ValueError("an id is not in the rank table")
+        return _gather(self.bytes, self.start[at], self.length[at]).tobytes()
+
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and the number of ids of each."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -183,12 +190,24 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         ranks = Ranks(data)
         for batch in batches:
             for part in slices(batch, "ids"):
-                out = []
-                for x in part.column("ids"):
-                    ids = np.frombuffer(x.as_py() or b"", dtype="<u4").astype(np.int64)
-                    if len(ids) and (ids.max() >= ranks.stride or not ranks.length[ids].all()):
-                        raise ValueError("an id is not in the rank table")
-                    out.append(_gather(ranks.bytes, ranks.start[ids], ranks.length[ids]).tobytes())
+                out = [ranks.text_of(x.as_py() or b"") for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `decode` of `encode` gives, in one Python stage: a task needs one worker and one rank table, not two of each."""
+    with open(ranks_path, "rb") as f:
+        data = f.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks(data)
+        encoder = Encoder(ranks, pattern)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = [x.tobytes() for x in encoder.encode([x or "" for x in part.column("text").to_pylist()])]
+                n_tokens = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_tokens, pa.array(ids, pa.binary()), pa.array(map(ranks.text_of, ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -39,9 +39,9 @@ def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer("byte_bpe_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern()), ranks)
+    rows = bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, pattern())
     rows = rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    return kit.keep(rows, "bpe-digests")  # small batches for two Python stages; the digests are small
+    return kit.keep(rows, "bpe-digests")  # small batches for Python; the digests are small
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,15 @@ def test_frames(spark, library):
     for row, (_, text, _) in zip(out, rows, strict=True):
         ids = library.encode_ordinary(text or "")
         assert (row.n_tokens, bytes(row.ids), bytes(row.decoded)) == (len(ids), np.array(ids, "<u4").tobytes(), (text or "").encode())
-    assert bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+    assert sorted(bpe.round_trip(docs, PATH, public_tokenizers.PATTERN).collect()) == out
+    for f in (bpe.encode, bpe.round_trip):
+        assert f(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_foreign_ids_are_an_error(ranks):
+    assert ranks.text_of(b"") == b""
+    with pytest.raises(ValueError, match="rank table"):
+        ranks.text_of(np.array([ranks.stride], "<u4").tobytes())
 
 
 def test_query(spark, library):
