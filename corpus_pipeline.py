@@ -58,7 +58,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, text_sha256): digests of the ids and of the bytes that they decode to."""
     ranks = tokenizer("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern()), ranks)
+    coded = bpe.round_trip(docs, ranks, pattern())
     return keep(coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("text_sha256")), "bpe-digests")
 
 
