@@ -61,16 +61,17 @@ def frugal(spark: SparkSession):
     return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows if 0 < rows < BATCH_ROWS else BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Writes a table in a `frugal` way."""
-    with frugal(df.sparkSession):
+def write(df: DataFrame, path: str, batch_bytes: int = 0) -> None:
+    """Writes a table in a `frugal` way; `batch_bytes` ends a batch for Python once it has so many, as rows may be long."""
+    spark = df.sparkSession
+    with frugal(spark), _settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {}):
         df.write.parquet(path)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, batch_bytes: int = 0) -> DataFrame:
     """The DataFrame written to the shared folder and read back: it survives lost executors and ends the lineage."""
     path, schema = scratch(df.sparkSession, name), df.schema
-    write(df, path)
+    write(df, path, batch_bytes)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._kept_at = path
     return out

@@ -48,6 +48,8 @@ _MARK, _OPEN = 1, 2
 _PACK = ("ids", "known", "sizes", "data", "runs", "anchors")
 #: Bytes of text whose pairs a range holds, and ranges at most; Spark's sort spills within a range.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 100_000
+#: Bytes after which a batch for Python ends: a row may hold a whole pack.
+BATCH_BYTES = 4 << 20
 #: Verdicts that are put in the order of their packs at a time.
 GATHER = 1 << 20
 
@@ -374,7 +376,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if threshold < SEED_BYTES:
         raise ValueError(f"the threshold must be at least {SEED_BYTES} bytes")
     packs = texts(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, threshold), ", ".join(f"{c} binary" for c in _PACK) + ", total long")
-    packs = keep(packs.withColumn("pack", F.monotonically_increasing_id()), "suffix-packs")
+    packs = keep(packs.withColumn("pack", F.monotonically_increasing_id()), "suffix-packs", BATCH_BYTES)
     total = packs.agg(F.sum("total")).first()[0] or 0
     packs = packs.drop("total")
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_BYTES))
@@ -411,5 +413,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([ids, pa.array(pack.sizes), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     for k in range(len(rounds)):
-        tables.append(keep(_round(known(k).mapInArrow(asker(k), "range int, pack long, n long, data binary"), ranges), f"suffix-round-{k}"))
+        tables.append(keep(_round(known(k).mapInArrow(asker(k), "range int, pack long, n long, data binary"), ranges), f"suffix-round-{k}", BATCH_BYTES))
     return known(len(rounds)).mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary")

@@ -134,3 +134,18 @@ def test_query(spark):
     want = [(a, b, c, e, hashlib.sha256(k).hexdigest()) for a, b, c, e, k in brute(rows, 50)]
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op10_suffix_dedup(spark, d).collect()) == want
     assert any(c for _, _, c, _, _ in want)
+
+
+def test_batches_end_by_bytes(spark):
+    """Long rows don't reach Python a thousand at a time."""
+    from lexframe.llm import kit
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 1000000) as text").mapInArrow(sizes, "n long")
+    found = [r.n for r in kit.keep(rows, "sizes", suffix_dedup.BATCH_BYTES).collect()]
+    assert sum(found) == 60 and max(found) <= 6
