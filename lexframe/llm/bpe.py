@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lexframe.llm.kit import slices, texts
+from lexframe.llm.kit import light, slices, texts
 
 #: Texts of more characters are cut into words one at a time, so that their words never exist all at once.
 LONG = 1 << 20
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids = encoder.encode([x or "" for x in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return texts(docs, id_col, text_col).mapInArrow(light(run), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -193,7 +193,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 out = [ranks.text_of(x.as_py() or b"") for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(light(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,4 +210,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 n_tokens = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_tokens, pa.array(ids, pa.binary()), pa.array(map(ranks.text_of, ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return texts(docs, id_col, text_col).mapInArrow(light(run), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import keep, slices, texts
+from lexframe.llm.kit import keep, light, slices, texts
 
 WINDOW, DIVISOR, LONGEST = 2, 3, 64
 
@@ -69,12 +69,12 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared, each with the one row of the first, in a join that adaptive execution splits where a hash is frequent.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
-    names = keep(rows.mapInArrow(lambda b: _chunks(b, False), "doc_id long, chunk long, name long"), "line-names")
+    names = keep(rows.mapInArrow(light(lambda b: _chunks(b, False)), "doc_id long, chunk long, name long"), "line-names")
     once = names.groupBy("name", "doc_id").agg(F.min("chunk").alias("chunk"), F.count_distinct("chunk").alias("n"))
     firsts = once.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")).where("n > 1")
     firsts = firsts.join(once.select("name", "doc_id", "chunk"), ["name", "doc_id"]).select("name", F.col("doc_id").alias("first_doc"), F.col("chunk").alias("first_chunk"))
     wanted = names.join(firsts.select("name"), "name").groupBy("doc_id").agg(F.collect_set("chunk").alias("wanted"))  # at most the chunks of one document
-    bodies = keep(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(lambda b: _chunks(b, True), "doc_id long, chunk long, name long, body binary"), "line-bodies")
+    bodies = keep(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(light(lambda b: _chunks(b, True)), "doc_id long, chunk long, name long, body binary"), "line-bodies")
     marked = bodies.join(firsts, "name").withColumn("first", (F.col("doc_id") == F.col("first_doc")) & (F.col("chunk") == F.col("first_chunk")))
     marked = keep(marked, "line-marked")
     owners = marked.where("first").groupBy("name").agg(F.first("body").alias("first_body"))
@@ -109,7 +109,7 @@ def remove_chunks(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
 
     rows = texts(docs, id_col, text_col)
     rows = rows.join(_listed(gone), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "__gone")
-    return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_chunks long, n_removed_lines long, n_removed_chunks long")
+    return rows.mapInArrow(light(run), "doc_id long, text string, n_lines long, n_chunks long, n_removed_lines long, n_removed_chunks long")
 
 
 def rewrite(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -129,7 +129,7 @@ def rewrite(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([own.get(c, part.column(c)) for c in names], names).filter(left)
 
     rows = docs.join(_listed(gone), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(light(run), docs.schema)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     strictly earlier.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
-    pairs = keep(rows.mapInArrow(_pairs, "doc_id long, at long, one long, two long"), "line-pairs")
+    pairs = keep(rows.mapInArrow(light(_pairs), "doc_id long, at long, one long, two long"), "line-pairs")
     place = F.struct("doc_id", "at")
     firsts = pairs.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("one", "two", "first")
     later = (F.col("doc_id") > F.col("first.doc_id")) | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") >= F.col("first.at") + 2)
@@ -180,7 +180,7 @@ def remove_runs(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_c
 
     lost = gone.groupBy("doc_id").agg(F.collect_list("at").alias("gone"))  # at most the lines of one document
     rows = texts(docs, id_col, text_col).join(lost, "doc_id", "left").select("doc_id", "text", "gone")
-    return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_removed_lines long")
+    return rows.mapInArrow(light(run), "doc_id long, text string, n_lines long, n_removed_lines long")
 
 
 def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexframe.llm.components import components
-from lexframe.llm.kit import U64, drop, frugal, keep, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
+from lexframe.llm.kit import U64, drop, frugal, keep, light, light_group, mix, planes, raw_texts, shingle_names, slices, texts, unplanes, width, word_names
 
 GROUPS, FINE, LEAF, TILE, SMALL = 32, 256, 32, 16_384, 64  # FINE is a multiple of GROUPS
+#: Pairs of points or boxes that are compared at once: their coordinates exist three times over (12 MB), and a box has LEAF children.
+STEP = 1 << 15
 #: Documents of the sample by which shingles are ordered, how many of them make a shingle frequent, and how many of those are told apart.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 3, 1 << 17
 #: With a smaller share of links in a turn, all pairs that are left are verified.
@@ -74,7 +76,7 @@ class RTree:
             top, low, high = np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((top, low, high))
 
-    def pairs(self, percent: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(self, percent: int, most: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, bound) with i < j for all pairs of points whose bound reaches the least overlap."""
         n = len(self.points)
         for first in range(0, n, 256):
@@ -156,8 +158,8 @@ def _coarse(block: np.ndarray, tile: np.ndarray, sizes: np.ndarray, points: np.n
         if not ok.any():
             break
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 1 << 17):
-            a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+        for at in range(0, len(i), STEP):
+            a, b = i[at : at + STEP], j[at : at + STEP]
             bound = np.minimum(points[a], points[b]).sum(1)
             good = (bound >= least_overlap(sizes[a], sizes[b], percent)) & ((tile[a] != tile[b]) | (tile[a] == -1))
             yield a[good], b[good], bound[good]
@@ -181,7 +183,7 @@ def _documents(rows: DataFrame, n: int) -> DataFrame:
                 points = [packed(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary())], ["doc_id", "node", "size", "point"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, size long, point binary")
+    return rows.mapInArrow(light(run), "doc_id long, node long, size long, point binary")
 
 
 def _frequent(rows: DataFrame, found: DataFrame, n: int) -> np.ndarray:
@@ -196,7 +198,7 @@ def _frequent(rows: DataFrame, found: DataFrame, n: int) -> np.ndarray:
 
     total = found.count()
     sample = rows.sample(min(1.0, SAMPLE / max(1, total)), seed=5)
-    names = sample.mapInArrow(counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    names = sample.mapInArrow(light(counted), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     with frugal(rows.sparkSession):
         out = names.orderBy(F.desc("n"), "name").limit(MOST_FREQUENT).select("name").toArrow().column("name").to_numpy()
     return np.sort(out.view(U64))
@@ -245,7 +247,7 @@ def _blocks(rows: DataFrame, n: int, percent: int, ranges: int, frequent: np.nda
         block = np.repeat(name, count)[rows_]
         return pa.table({"block": pa.array(block.view(np.int64)), "range": pa.array(np.full(len(block), table.column("range")[0].as_py(), np.int32)), "node": pa.array(v[rows_].view(np.int64))})
 
-    found = keep(rows.mapInArrow(keys, "range int, n long, data binary").groupBy("range").applyInArrow(group, "block long, range int, node long"), "join-blocks")
+    found = keep(rows.mapInArrow(light(keys), "range int, n long, data binary").groupBy("range").applyInArrow(light_group(group), "block long, range int, node long"), "join-blocks")
     one = found.groupBy("block").agg(F.min("range").alias("range"))
     return found.join(one, ["block", "range"]).select("block", "node")
 
@@ -322,7 +324,7 @@ def _proposals(members: DataFrame, percent: int, ranges: int, turn: int | None)
         out = pa.table({"a": pa.array(node[i]), "b": pa.array(node[j]), "part_a": pa.array(part[i]), "part_b": pa.array(part[j])})
         return pa.concat_tables([out, pa.table({c: pa.array([None], pa.int64()) for c in out.column_names})]) if pruned else out
 
-    found = members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(run, "a long, b long, part_a long, part_b long")
+    found = members.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(light_group(run), "a long, b long, part_a long, part_b long")
     return found.distinct()
 
 
@@ -344,7 +346,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
 
     left = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
     right = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "part_a", "part_b", "body_a", "body_b").mapInArrow(run, "a long, b long, part_a long, part_b long, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "part_a", "part_b", "body_a", "body_b").mapInArrow(light(run), "a long, b long, part_a long, part_b long, linked boolean")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -380,7 +382,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return table.select(["block", "tile", "node", "size", "point"]).filter(pa.array(good))
 
     schema = "block long, tile int, node long, size long, point binary"
-    members = keep(everyone.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(partnered, schema), "join-partnered")
+    members = keep(everyone.groupBy(F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range")).applyInArrow(light_group(partnered), schema), "join-partnered")
     drop(everyone)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +394,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     asked = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     # Rows with equal ids and other texts are told apart by their sets; equal rows are one. All of it is dealt by doc_id.
-    bodies = keep(rows.join(asked, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text").mapInArrow(squeezed, "node long, body binary"), "join-bodies")
+    bodies = keep(rows.join(asked, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text").mapInArrow(light(squeezed), "node long, body binary"), "join-bodies")
 
     parts = members.select("node").distinct().select("node", F.col("node").alias("component"))
     done = spark.createDataFrame([], "a long, b long")

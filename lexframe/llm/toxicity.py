@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.kit import U64, WORDS, frugal, mix, slices, texts
+from lexframe.llm.kit import U64, WORDS, frugal, light, mix, slices, texts
 
 BUCKETS = 1 << 18
 #: Upper bound of the number of labelled documents that training reads.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([s.tobytes() for s, _, _ in found], pa.binary()), pa.array([b.tobytes() for _, b, _ in found], pa.binary())], ["doc_id", "y", "sentence", "bucket"])
 
     with frugal(docs.sparkSession):
-        got = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, sentence binary, bucket binary").toArrow().to_pylist()
+        got = rows.select("doc_id", "y", "text").mapInArrow(light(bags), "doc_id long, y int, sentence binary, bucket binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["sentence"], r["bucket"]))  # the order of tasks must not change the weights
     total = max(1, sum(counts.values()))
     return fit([(r["y"], np.frombuffer(r["sentence"], np.int32), np.frombuffer(r["bucket"], np.int32)) for r in got], (counts.get(0, 0) / total, counts.get(1, 0) / total))
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([model.score(x) for x in part.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return texts(docs, id_col, text_col).mapInArrow(light(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -182,7 +182,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array([model.score(x) < threshold for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(light(run), docs.schema)
 
 
 def sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -201,4 +201,4 @@ def sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                         out.append((doc_id, k, raw[a:b].decode().strip(), p))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["doc_id", "sentence", "text", "score"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, sentence long, text string, score double")
+    return texts(docs, id_col, text_col).mapInArrow(light(run), "doc_id long, sentence long, text string, score double")
